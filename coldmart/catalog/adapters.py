@@ -163,3 +163,158 @@ def command_steps(base: DataFrame) -> DataFrame:
         "case when step.kind = 'command_requested' then 'setpoint_celsius' end as setting",
         "case when step.kind = 'command_requested' then cast(k % 2 * -20 as string) end as value",
     )
+
+
+def link_states(base: DataFrame) -> DataFrame:
+    """Links going up on a signup and down on an error."""
+    return base.filter("event_type in ('signup', 'error')").selectExpr(
+        "concat('COOLER-', user_id % 3) as serial_number",
+        "timestamp_micros(us) as ts",
+        "case when event_type = 'signup' then 'ble_connected' else 'ble_disconnected' end as kind",
+    )
+
+
+def _byte(number: str) -> str:
+    return f"lpad(hex(pmod({number}, 256)), 2, '0')"
+
+
+def _word(number: str) -> str:
+    return f"concat({_byte(number)}, {_byte(f'({number}) div 256')})"
+
+
+def messages(base: DataFrame) -> DataFrame:
+    """Every report as the bytes a device would send, some of them damaged.
+
+    The body is a state report in the wire format; a quarter displays °F. Bodies are cut
+    short (13th), carry an unknown battery state (17th) or lack the display unit (19th).
+    Every third message is split in two fragments. Frames have a wrong checksum (23rd) or
+    length (37th), fragments come in the wrong order (29th) or stop after one (31st).
+    """
+    shown = "case when event_id % 4 = 0 then cast(bround({0} * 9.0D / 5.0D + 32) as bigint) else {0} end"
+    pack = "case when battery_serial_number is null then repeat('00', 17) else hex(battery_serial_number) end"
+    state = (
+        "case when event_id % 17 = 0 then 9 when battery_state = 'idle' then 0 "
+        "when battery_state = 'charging' then 1 when battery_state = 'discharging' then 2 "
+        "when battery_state = 'full' then 3 else 4 end"
+    )
+    unit = "case when event_id % 4 = 0 then '01' else '00' end"
+    body = (
+        "concat('A10131', 'A2', " + _byte("length(serial_number) + 1") + ", '00', hex(serial_number), "
+        "'A60201', " + _byte(shown.format("setpoint_celsius")) + ", "
+        "'A70201', " + _byte(shown.format("interior_temperature_celsius")) + ", "
+        "'AD020101', 'AF020101', "
+        "case when event_id % 19 = 0 then '' else concat('B00201', " + unit + ") end, "
+        "'B10302', " + _word("input_watts") + ", "
+        "'D024061011', " + pack + ", '00000000', '0000', '0000', '0000', "
+        + _byte(state) + ", " + _byte("state_of_charge_percent") + ", "
+        + _word("charge_watts") + ", " + _word("discharge_watts") + ")"
+    )
+    numbered = reports(base).withColumn(
+        "battery_serial_number",
+        F.when(
+            F.col("battery_serial_number").isNotNull(),
+            F.concat(
+                F.lit("BATTERY-"), F.lpad(F.substring_index("battery_serial_number", "-", -1), 9, "0")
+            ),
+        ),
+    )
+    bodies = numbered.withColumn("whole", F.expr(body)).withColumn(
+        "plain",
+        F.when(
+            F.col("event_id") % 13 == 0, F.expr("substring(whole, 1, length(whole) - 6)")
+        ).otherwise(F.col("whole")),
+    )
+    split = F.expr(
+        "case when event_id % 3 <> 0 then array(whole) "
+        "when event_id % 31 = 0 then array(concat('12', substring(whole, 1, 100))) "
+        "when event_id % 29 = 0 then array(concat('22', substring(whole, 101)), "
+        "concat('12', substring(whole, 1, 100))) "
+        "else array(concat('12', substring(whole, 1, 100)), concat('22', substring(whole, 101))) end"
+    )
+    framed = bodies.withColumn(
+        "frames", F.transform(split, lambda p: _frame(p, F.col("event_id")))
+    )
+    return framed.withColumn("cmd", F.lit("4402")).drop("whole")
+
+
+def _frame(payload, event_id):
+    from coldmart.functions.wire import FRAME_HEADER, FRAME_OVERHEAD, byte_count, xor_checksum
+
+    size = byte_count(payload) + FRAME_OVERHEAD + F.when(event_id % 37 == 0, 1).otherwise(0)
+    low, high = size % 256, F.call_function("div", size, F.lit(256))
+    head = F.concat(
+        F.lit(FRAME_HEADER),
+        F.lpad(F.hex(low.cast("bigint")), 2, "0"),
+        F.lpad(F.hex(high.cast("bigint")), 2, "0"),
+        F.lit("03010F4402"),
+        payload,
+    )
+    check = xor_checksum(head).bitwiseXOR(F.when(event_id % 23 == 0, 1).otherwise(0))
+    return F.concat(head, F.lpad(F.hex(check.cast("bigint")), 2, "0"))
+
+
+def envelopes(base: DataFrame) -> DataFrame:
+    """Gateway events: numbered messages with payloads, a few undescribed, and losses."""
+    return reports(base).selectExpr(
+        "event_id as seq",
+        "0 as connection",
+        "timestamp_micros(ts_us) as ts",
+        "case when event_id % 41 = 0 then null else uptime_seconds end as uptime_seconds",
+        "boot_id",
+        "ts_synced",
+        "case when event_id % 43 = 0 then 'dropped' when battery_state = 'absent' then "
+        "'ble_silent' else 'message' end as kind",
+        f"'{MODEL}' as model",
+        "serial_number as address",
+        "array(hex(event_id)) as frames",
+        "named_struct('setpoint_celsius', setpoint_celsius, "
+        "'interior_temperature_celsius', interior_temperature_celsius, 'display_unit', 'C', "
+        "'input_watts', input_watts, 'usb_a_output_watts', 0L, 'usb_c_output_watts', 0L, "
+        "'charge_watts', charge_watts, 'discharge_watts', discharge_watts, "
+        "'battery_state', case when event_id % 47 = 0 then 'melted' else battery_state end, "
+        "'state_of_charge_percent', state_of_charge_percent, 'protection_level', 'M', "
+        "'brightness', 'mid', 'serial_number', case when event_id % 53 = 0 then null else "
+        "serial_number end, 'battery_serial_number', battery_serial_number) as payload",
+        "case when event_id % 43 = 0 then k end as count",
+    )
+
+
+def pushed_signals(base: DataFrame) -> DataFrame:
+    """Push envelopes with signals inside, a tenth of them unreadable for some reason."""
+    body = (
+        "case when event_id % 2 = 0 then to_json(named_struct('event', 'semantic_updated', 'run_id', "
+        "concat('r-', event_id div 4), 'published_at', '2024-02-01T00:00:00Z', 'rows_arrived', k, "
+        "'build_passed', true, 'extra', 1)) else to_json(named_struct('event', 'quality_report', "
+        "'run_id', concat('r-', event_id div 4), 'published_at', '2024-02-01T00:00:00Z', "
+        "'contract_id', concat('contract-', event_id % 4), 'passed', k >= 50, 'failed_checks', "
+        "case when k < 50 then array('a', 'b') else array() end)) end"
+    )
+    broken = (
+        "case event_id % 70 when 0 then '{\"event\":\"other\"}' when 7 then '[1,2]' "
+        "when 14 then '{\"event\":\"quality_report\",\"run_id\":\"r\"}' when 21 then '{\"event\":' "
+        "else body end"
+    )
+    return (
+        base.selectExpr("event_id", f"{body} as body")
+        .selectExpr("event_id", f"base64(cast({broken} as binary)) as data")
+        .selectExpr(
+            "event_id",
+            "to_json(named_struct('message', named_struct('data', case when event_id % 70 = 28 "
+            "then concat(data, '!') else replace(data, '\\r\\n', '') end, 'messageId', "
+            "cast(event_id as string)), 'subscription', 's')) as value",
+        )
+    )
+
+
+def chunk_lines(base: DataFrame) -> DataFrame:
+    """Lines as they lie in a chunk: records, and what a power cut leaves behind."""
+    whole = (
+        "concat('{\"ts\":\"2024-01-01T00:00:00.000001Z\",\"uptime_seconds\":', k, "
+        "',\"boot_id\":\"b-', event_id % 7, '\",\"kind\":\"', event_type, '\",\"later\":[1,2]}')"
+    )
+    return base.selectExpr(
+        "event_id",
+        f"case event_id % 20 when 3 then '' when 5 then '   ' when 7 then '[1,2]' when 9 then '17' "
+        f"when 11 then 'null' when 13 then substring({whole}, 1, length({whole}) - 9) "
+        f"when 15 then repeat(char(0), 8) when 17 then concat({whole}, '}}') else {whole} end as value",
+    )

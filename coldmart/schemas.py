@@ -7,8 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+_TYPES = {
+    "STRING": T.StringType(),
+    "BIGINT": T.LongType(),
+    "INT": T.IntegerType(),
+    "DOUBLE": T.DoubleType(),
+    "BOOLEAN": T.BooleanType(),
+    "TIMESTAMP": T.TimestampType(),
+    "DATE": T.DateType(),
+    "STRINGS": T.ArrayType(T.StringType()),
+}
+
+
+def _struct(text: str, **nested: T.DataType) -> T.StructType:
+    """``name TYPE, name TYPE, ...`` as a struct; works before there is a session."""
+    types = _TYPES | nested
+    fields = (column.split() for column in text.split(","))
+    return T.StructType([T.StructField(name, types[kind]) for name, kind in fields])
 
 
 PAYLOAD = _struct(
@@ -24,15 +39,16 @@ _STAMP = "ts TIMESTAMP, uptime_seconds DOUBLE, boot_id STRING, ts_synced BOOLEAN
 
 RAW_COOLER = _struct(
     f"{_STAMP}, model STRING, address STRING, pattern STRING, cmd STRING, "
-    f"frames ARRAY<STRING>, plain STRING, payload {PAYLOAD.simpleString()}, "
-    f"environment {ENVIRONMENT.simpleString()}, error STRING"
+    "frames STRINGS, plain STRING, payload PAYLOAD, environment ENVIRONMENT, error STRING",
+    PAYLOAD=PAYLOAD,
+    ENVIRONMENT=ENVIRONMENT,
 )
 RAW_EVENTS = _struct(
     f"{_STAMP}, kind STRING, address STRING, name STRING, error STRING, variant STRING, "
     "mtu BIGINT, chip STRING, firmware STRING, serial STRING, secret STRING, cmd STRING, "
     "sensor STRING, uploaded_chunk_count BIGINT, uploaded_line_count BIGINT, "
     "command_id STRING, source STRING, reason STRING, setting STRING, value STRING, "
-    "frames ARRAY<STRING>, count BIGINT, expected BIGINT, received BIGINT"
+    "frames STRINGS, count BIGINT, expected BIGINT, received BIGINT"
 )
 STREAMS = {"cooler": RAW_COOLER, "events": RAW_EVENTS}
 
@@ -95,7 +111,7 @@ CALENDAR = _struct(
 )
 SIGNAL = _struct(
     "event STRING, run_id STRING, published_at TIMESTAMP, rows_arrived BIGINT, "
-    "build_passed BOOLEAN, contract_id STRING, passed BOOLEAN, failed_checks ARRAY<STRING>"
+    "build_passed BOOLEAN, contract_id STRING, passed BOOLEAN, failed_checks STRINGS"
 )
 
 MARTS = {
