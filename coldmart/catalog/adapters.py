@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coldmart.functions.rows import computed
+from coldmart.functions.wire import FRAME_HEADER, FRAME_OVERHEAD, byte_count, xor_checksum
+
 # Fixed values of the adapter: constants for what the events table cannot supply.
 MODEL = "everfrost"
 BOOT_MICROS = 432_000_000_000
@@ -218,7 +221,7 @@ def messages(base: DataFrame) -> DataFrame:
             ),
         ),
     )
-    bodies = numbered.withColumn("whole", F.expr(body)).withColumn(
+    bodies = computed(numbered, whole=F.expr(body)).withColumn(
         "plain",
         F.when(
             F.col("event_id") % 13 == 0, F.expr("substring(whole, 1, length(whole) - 6)")
@@ -231,24 +234,27 @@ def messages(base: DataFrame) -> DataFrame:
         "concat('12', substring(whole, 1, 100))) "
         "else array(concat('12', substring(whole, 1, 100)), concat('22', substring(whole, 101))) end"
     )
-    framed = bodies.withColumn(
-        "frames", F.transform(split, lambda p: _frame(p, F.col("event_id")))
-    )
+    heads = computed(bodies, _heads=F.transform(split, lambda p: _head(p, F.col("event_id"))))
+    framed = heads.withColumn(
+        "frames", F.transform("_heads", lambda h: _checked(h, F.col("event_id")))
+    ).drop("_heads")
     return framed.withColumn("cmd", F.lit("4402")).drop("whole")
 
 
-def _frame(payload, event_id):
-    from coldmart.functions.wire import FRAME_HEADER, FRAME_OVERHEAD, byte_count, xor_checksum
-
+def _head(payload, event_id):
+    """A frame up to its checksum."""
     size = byte_count(payload) + FRAME_OVERHEAD + F.when(event_id % 37 == 0, 1).otherwise(0)
     low, high = size % 256, F.call_function("div", size, F.lit(256))
-    head = F.concat(
+    return F.concat(
         F.lit(FRAME_HEADER),
         F.lpad(F.hex(low.cast("bigint")), 2, "0"),
         F.lpad(F.hex(high.cast("bigint")), 2, "0"),
         F.lit("03010F4402"),
         payload,
     )
+
+
+def _checked(head, event_id):
     check = xor_checksum(head).bitwiseXOR(F.when(event_id % 23 == 0, 1).otherwise(0))
     return F.concat(head, F.lpad(F.hex(check.cast("bigint")), 2, "0"))
 

@@ -9,7 +9,7 @@ what crosses a chunk border on data that no longer grows with the rows:
                      when a rule never looks further than a known distance; one shuffle.
 * ``neighbours``     exact lag/lead at any distance. The first and last row of each chunk
                      meet in a second window: at most two rows per chunk and series.
-* ``running_count``  in-chunk counts plus the chunk totals before them.
+* ``running_count``  in-chunk counts plus the chunk totals before them: one row per chunk.
 """
 
 from __future__ import annotations
@@ -113,24 +113,30 @@ def running_count(
     name: str,
     condition: Column | None = None,
 ) -> DataFrame:
-    """Add how many rows (that meet ``condition``) the series holds up to this one."""
+    """Add how many rows (that meet ``condition``) the series holds up to this one.
+
+    Counted within the chunk; the last row of a chunk stands for its total when the totals
+    before it are added up per series; a third window hands the sum to the whole chunk. No
+    join, so whatever made ``df`` runs once.
+    """
     counted = F.lit(1) if condition is None else F.when(condition, 1).otherwise(0)
-    inside = (
-        Window.partitionBy(*keys, "_chunk")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    rows = df.withColumn("_chunk", chunk).withColumn("_one", counted.cast("bigint"))
-    totals = rows.groupBy(*keys, "_chunk").agg(F.sum("_one").alias("_total"))
+    chunk_rows = Window.partitionBy(*keys, "_chunk")
+    inside = chunk_rows.orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Last rows of a series share one group (NULL), everything else stays with its chunk.
     earlier = (
-        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = totals.select(
-        *keys, "_chunk", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")
+        Window.partitionBy(*keys, "_group")
+        .orderBy("_chunk")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        rows.withColumn("_count", F.sum("_one").over(inside))
-        .join(offsets, [*keys, "_chunk"])
+        df.withColumn("_chunk", chunk)
+        .withColumn("_one", counted.cast("bigint"))
+        .withColumn("_count", F.sum("_one").over(upto))
+        .withColumn("_last", F.lead("_one").over(inside).isNull())
+        .withColumn("_group", F.when(~F.col("_last"), F.col("_chunk")))
+        .withColumn("_offset", F.when(F.col("_last"), F.sum("_count").over(earlier)))
+        .withColumn("_offset", F.coalesce(F.max("_offset").over(chunk_rows), F.lit(0)))
         .withColumn(name, F.col("_count") + F.col("_offset"))
-        .drop("_chunk", "_one", "_count", "_offset")
+        .drop("_chunk", "_one", "_count", "_last", "_group", "_offset")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coldmart.functions import wire
+from coldmart.functions.rows import computed
 
 
 def backfill_payload(raw: DataFrame) -> DataFrame:
@@ -15,13 +16,15 @@ def backfill_payload(raw: DataFrame) -> DataFrame:
     Rows of other commands keep the payload they have.
     """
     is_state = F.col("cmd").isin(*wire.STATE_COMMANDS)
-    staged = raw.select("*", *wire.state_columns(F.when(is_state, F.col("plain"))))
-    payload, reason = wire.decoded_state(F.col("plain"), F.col("_tlv"))
-    return (
-        staged.withColumn("payload_error", F.when(is_state, reason))
-        .withColumn("payload", F.when(is_state, payload).otherwise(F.col("payload")))
-        .drop("_tlv")
-    )
+    bodies = computed(raw, _hex=wire.clean_hex(F.when(is_state, F.col("plain"))))
+    coded = computed(bodies, _codes=wire.byte_codes(F.col("_hex")))
+    parsed = computed(coded, _tlv=wire.parse_parameters(F.col("_codes")))
+    found = computed(parsed, **wire.state_fields(F.col("plain"), F.col("_tlv")))
+    read = computed(found, payload_error=F.when(is_state, wire.state_fault()))
+    decoded = F.when(F.col("payload_error").isNull(), wire.state_payload())
+    return read.withColumn(
+        "payload", F.when(is_state, decoded).otherwise(F.col("payload"))
+    ).select(*raw.columns, "payload_error")
 
 
 def explode_tlv(raw: DataFrame) -> DataFrame:
@@ -29,47 +32,50 @@ def explode_tlv(raw: DataFrame) -> DataFrame:
 
     Bodies in the clear are read as they are, others from their joined notifications.
     """
-    frames_ok = wire.message_status(F.col("frames")) == "ok"
+    # Notifications are looked at only where there is no body in the clear.
+    sealed = F.when(F.col("plain").isNull(), F.col("frames"))
+    framed = computed(raw, _frames=F.transform(sealed, wire.clean_hex))
+    status = computed(framed, _status=wire.message_status(F.col("_frames")))
     body = F.when(F.col("plain").isNotNull(), wire.clean_hex(F.col("plain"))).when(
-        frames_ok, wire.joined_payload(F.col("frames"))
+        F.col("_status") == "ok", wire.joined_payload(F.col("_frames"))
     )
+    bodies = computed(status, _body=body)
+    coded = computed(bodies, _codes=wire.byte_codes(F.col("_body")))
     rows = (
-        raw.withColumn("_body", body)
-        .filter(F.col("_body").isNotNull())
-        .withColumn("_tlv", wire.parse_parameters(F.col("_body")))
-        .filter(F.col("_tlv.error").isNull())
+        computed(coded, _tlv=wire.parse_parameters(F.col("_codes")))
+        .filter(F.col("_body").isNotNull() & F.col("_tlv.error").isNull())
         .withColumn("_p", F.explode("_tlv.found"))
     )
-    raw_hex = F.col("_p.raw")
-    size = wire.byte_count(raw_hex)
-    kind = F.when(size > 1, wire.hex_slice(raw_hex, 0, 1))
-    value = wire.value_of(raw_hex)
-    small = size.between(1, 8)
-    wide = wire.byte_count(value).between(1, 8)
-    printable = raw_hex.rlike("^((2|3|4|5|6)[0-9A-F]|7[0-9A-E])+$")
+    codes, p = F.col("_codes"), F.col("_p")
+    start, count = p["from"], p["count"]
+    raw_hex = wire.hex_slice(F.col("_body"), start, count)
+    typed = count > 1
+    kind = F.when(typed, wire.hex_slice(F.col("_body"), start, F.lit(1)))
+    body_codes, value = wire.part(codes, start, count), wire.value_codes(codes, p)
+    length = wire.value_count(p)
+    small, short = count.between(1, 7), length.between(1, 7)
+    printable = (count > 0) & F.forall(body_codes, lambda c: c.between(32, 126))
     return rows.select(
         *raw.columns,
-        F.col("_p.key").alias("key"),
+        F.upper(F.lpad(F.hex(p["key"].cast("bigint")), 2, "0")).alias("key"),
         kind.alias("type_byte"),
-        size.cast("bigint").alias("length"),
+        count.cast("bigint").alias("length"),
         raw_hex.alias("hex"),
-        F.when(small, wire.le_unsigned(raw_hex)).alias("uint_le"),
-        F.when(size.between(1, 7), wire.le_signed(raw_hex)).alias("int_le"),
-        F.when(kind.isNotNull(), value).alias("value_hex"),
-        F.when(kind.isNotNull() & wide, wire.le_unsigned(value)).alias("value_uint_le"),
-        F.when((kind == wire.I16) & (wire.byte_count(value) == 2), wire.le_signed(value)).alias("i16"),
-        F.when((kind == wire.U8) & (wire.byte_count(value) == 1), wire.byte_value(value))
-        .cast("bigint")
-        .alias("u8"),
-        F.when((kind == wire.F32) & (wire.byte_count(value) == 4), _float32(value)).alias("f32"),
+        F.when(small, wire.le_unsigned(body_codes)).alias("uint_le"),
+        F.when(small, wire.le_signed(body_codes)).alias("int_le"),
+        F.when(typed, wire.hex_slice(F.col("_body"), start + 1, count - 1)).alias("value_hex"),
+        F.when(typed & short, wire.le_unsigned(value)).alias("value_uint_le"),
+        F.when((kind == wire.I16) & (length == 2), wire.le_signed(value)).alias("i16"),
+        F.when((kind == wire.U8) & (length == 1), wire.le_unsigned(value)).alias("u8"),
+        F.when((kind == wire.F32) & (length == 4), _float32(value)).alias("f32"),
         F.when(kind == wire.TEXT, wire.ascii_text(value)).alias("text"),
-        F.when(printable, wire.ascii_text(raw_hex)).alias("ascii"),
+        F.when(printable, wire.ascii_text(body_codes)).alias("ascii"),
     )
 
 
 def _float32(value):
     """IEEE single out of four little-endian bytes; NULL for infinities and NaN."""
-    bits = wire.le_unsigned(value).cast("bigint")
+    bits = wire.le_unsigned(value)
     sign = F.when(F.shiftright(bits, 31).bitwiseAND(F.lit(1)) == 1, -1.0).otherwise(1.0)
     exponent = F.shiftright(bits, 23).bitwiseAND(F.lit(255))
     mantissa = bits.bitwiseAND(F.lit(8388607))
@@ -82,8 +88,11 @@ def _float32(value):
 
 def audit_frames(raw: DataFrame) -> DataFrame:
     """How many messages arrived whole, and what was wrong with the rest."""
+    cleaned = computed(
+        raw.select("frames"), _frames=F.transform("frames", wire.clean_hex), n=F.size("frames")
+    )
     return (
-        raw.select(wire.message_status(F.col("frames")).alias("status"), F.size("frames").alias("n"))
+        computed(cleaned, status=wire.message_status(F.col("_frames")))
         .groupBy("status")
         .agg(
             F.count(F.lit(1)).alias("messages"),

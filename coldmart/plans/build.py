@@ -20,10 +20,13 @@ def staged_reports(
     report_order: Sequence[Column | str] | None = None,
     handshake_order: Sequence[Column | str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Reports and handshakes, written once: the dimensions and the fact all read them."""
-    anchors = staging.clock_reference(raw_cooler, raw_events)
+    """Reports and handshakes, written once: the dimensions and the fact all read them.
+
+    So are the clock anchors, a row per boot, which would cost another pass over raw each.
+    """
+    anchors = staged(staging.clock_reference(raw_cooler, raw_events), "anchors")
     updates = staged(staging.state_updates(raw_cooler, anchors, report_order), "updates")
-    shaken = staging.negotiations(raw_events, anchors, handshake_order)
+    shaken = staged(staging.negotiations(raw_events, anchors, handshake_order), "handshakes")
     return updates, shaken
 
 

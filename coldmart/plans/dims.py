@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from coldmart.functions import integer_key
 from coldmart.operators.ordered import DAY, neighbours, running_count, time_chunk
 from coldmart.schemas import BATTERY, CALENDAR, COOLER, conform
+from coldmart.session import staged
 from coldmart.sources.seeds import read_seed
 
 # The decoder's name when no report named one, the version text of the
@@ -61,6 +62,8 @@ def device_versions(handshakes: DataFrame, updates: DataFrame) -> DataFrame:
         F.least("reported_at", "shaken_at").alias("first_seen_at"),
         "shaken_at",
     )
+    # One row per device, used twice; without the cut the reports would be read twice.
+    devices = staged(devices, "devices")
     observed = (
         handshakes.join(devices.select("serial_number", "last_address", "model"), "serial_number")
         .withColumn("bluetooth_address", F.coalesce("bluetooth_address", "last_address"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coldmart.functions.rows import computed
 from coldmart.schemas import RAW_COOLER, RAW_EVENTS, STREAMS
 
 # The record types that are shipped, and the folder each goes to.
@@ -37,20 +38,22 @@ def parse_lines(text: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataF
     A line counts if it is one JSON object. Empty, NUL-filled and torn lines, scalars and
     arrays are rejected, with the reason; other columns of ``text`` ride along.
     """
-    line = F.regexp_replace("value", r"^[\s\x{FEFF}]+|\s+$", "")
     rest = [c for c in text.columns if c != "value"]
-    # Whether a line is JSON at all is asked without the schema: a readable object with a
-    # field of the wrong type is still a record, with that field NULL.
-    whole = F.try_parse_json(line)
-    marked = text.withColumn(
-        "reason",
-        F.when(F.length(line) == 0, "empty")
+    line = F.regexp_replace("value", r"^[\s\x{FEFF}]+|\s+$", "")
+    # Asked without the schema: a readable object with a field of the wrong type is still a
+    # record, with that field NULL. As one member among two, a line that is more or less
+    # than one JSON value either does not parse or changes the members.
+    members = F.json_object_keys(F.concat(F.lit('{"line":'), F.col("_line"), F.lit(',"end":1}')))
+    whole = F.coalesce(members == F.array(F.lit("line"), F.lit("end")), F.lit(False))
+    reason = (
+        F.when(F.length("_line") == 0, "empty")
         .when(F.col("value").contains("\x00"), "nul")
-        .when(whole.isNull(), "torn")
-        .when(~line.startswith("{"), "not_an_object"),
+        .when(~whole, "torn")
+        .when(~F.col("_line").startswith("{"), "not_an_object")
     )
+    marked = computed(computed(text, _line=line), reason=reason)
     good = marked.filter(F.col("reason").isNull()).select(
-        *rest, F.from_json(line, schema, {"mode": "PERMISSIVE"}).alias("_r")
+        *rest, F.from_json("_line", schema, {"mode": "PERMISSIVE"}).alias("_r")
     )
     rejected = marked.filter(F.col("reason").isNotNull()).select(*rest, "value", "reason")
     return good.select(*rest, "_r.*"), rejected

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coldmart.functions.rows import computed
 from coldmart.schemas import SIGNAL
 
 BUILT, REPORTED = "semantic_updated", "quality_report"
@@ -33,27 +34,28 @@ def decode_signals(pushed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     base64 = F.when(
         data.rlike("^[A-Za-z0-9+/]*={0,2}$") & (F.length(data) % 4 == 0), F.unbase64(data)
     )
-    text = F.try_validate_utf8(base64.cast("string"))
-    opened = (
-        pushed.withColumn("_text", text)
-        .withColumn("_json", F.when(F.try_parse_json("_text").isNotNull(), F.trim("_text")))
-        .withColumn("_b", F.from_json("_json", _BODY))
-        .withColumn("_object", F.coalesce(F.col("_json").startswith("{"), F.lit(False)))
+    text = computed(pushed, _text=F.trim(F.try_validate_utf8(base64.cast("string"))))
+    whole = F.json_object_keys(F.concat(F.lit('{"body":'), F.col("_text"), F.lit(',"end":1}')))
+    opened = computed(
+        text,
+        _b=F.when(
+            F.col("_text").startswith("{") & (whole == F.array(F.lit("body"), F.lit("end"))),
+            F.from_json("_text", _BODY),
+        ),
     )
     checks = F.from_json("_b.failed_checks", "ARRAY<STRING>")
-    read = opened.select(
-        "value",
-        "_object",
-        F.col("_b.event").alias("event"),
-        F.col("_b.run_id").alias("run_id"),
-        F.col("_b.published_at").try_cast("timestamp").alias("published_at"),
-        _strict("rows_arrived", "^-?[0-9]+$", "bigint").alias("rows_arrived"),
-        _strict("build_passed", "^(true|false)$", "boolean").alias("build_passed"),
-        F.col("_b.contract_id").alias("contract_id"),
-        _strict("passed", "^(true|false)$", "boolean").alias("passed"),
-        F.when(F.col("_b.failed_checks").startswith("["), checks).alias("failed_checks"),
+    read = computed(
+        opened,
+        event=F.col("_b.event"),
+        run_id=F.col("_b.run_id"),
+        published_at=F.col("_b.published_at").try_cast("timestamp"),
+        rows_arrived=_strict("rows_arrived", "^-?[0-9]+$", "bigint"),
+        build_passed=_strict("build_passed", "^(true|false)$", "boolean"),
+        contract_id=F.col("_b.contract_id"),
+        passed=_strict("passed", "^(true|false)$", "boolean"),
+        failed_checks=F.when(F.col("_b.failed_checks").startswith("["), checks),
     )
-    common = F.col("_object") & F.col("run_id").isNotNull() & F.col("published_at").isNotNull()
+    common = F.col("run_id").isNotNull() & F.col("published_at").isNotNull()
     built = (
         common
         & (F.col("event") == BUILT)
@@ -67,9 +69,9 @@ def decode_signals(pushed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         & F.col("passed").isNotNull()
         & F.col("failed_checks").isNotNull()
     )
-    which = read.withColumn(
-        "_which",
-        F.when(F.coalesce(built, F.lit(False)), BUILT).when(
+    which = computed(
+        read,
+        _which=F.when(F.coalesce(built, F.lit(False)), BUILT).when(
             F.coalesce(reported, F.lit(False)), REPORTED
         ),
     )

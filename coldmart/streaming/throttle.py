@@ -92,7 +92,8 @@ def throttle(
     carries = tables.groupBy(*keys).applyInPandas(
         follow, f"{key_ddl}, _chunk BIGINT, _kept BIGINT"
     )
-    tie = [c for c in events.columns if c not in (*keys, at)]
+    columns = events.columns
+    tie = [c for c in columns if c not in (*keys, at)]
 
     def pick(_: tuple, pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_at", *tie], kind="stable")
@@ -101,7 +102,7 @@ def throttle(
         while (place := int(np.searchsorted(times, kept + pause, side="left"))) < len(times):
             chosen.append(place)
             kept = int(times[place])
-        return pdf.iloc[chosen][events.columns]
+        return pdf.iloc[chosen][columns]
 
     return (
         rows.groupBy(*keys, "_chunk")
