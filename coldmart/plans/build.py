@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,24 +48,38 @@ def build_all(
     spark = raw_cooler.sparkSession
     version = marts.new_version()
     updates, shaken = staged_reports(raw_cooler, raw_events, report_order, handshake_order)
-    tables = {
-        "dim_date": dims.calendar(spark, *calendar_span),
-        "dim_battery": dims.battery_dim(updates),
-        "dim_cooler": dims.device_versions(shaken, updates),
-    }
-    tables = {n: marts.write_mart(df, root, n, version) for n, df in tables.items()}
+    tables = _written(
+        root,
+        version,
+        dim_date=lambda: dims.calendar(spark, *calendar_span),
+        dim_battery=lambda: dims.battery_dim(updates),
+        dim_cooler=lambda: dims.device_versions(shaken, updates),
+    )
     fact = facts.state_update_fact(updates, tables["dim_cooler"], tables["dim_battery"])
     fact = marts.write_mart(fact, root, "fact_cooler_state_update", version)
     tables["fact_cooler_state_update"] = fact
-    for name, operator in (
-        ("fact_cooler_snapshot", slot_snapshot),
-        ("fact_cooler_pulldown", pulldown_episodes),
-    ):
-        tables[name] = marts.write_mart(operator(fact), root, name, version)
+    tables |= _written(
+        root,
+        version,
+        fact_cooler_snapshot=lambda: slot_snapshot(fact),
+        fact_cooler_pulldown=lambda: pulldown_episodes(fact),
+    )
     marts.publish(spark, root, version)
     return tables
 
 
+def _written(
+    root: str, version: str, **plans: Callable[[], DataFrame]
+) -> dict[str, DataFrame]:
+    """Marts that do not depend on each other, as Spark jobs submitted side by side."""
+
+    def write(name: str) -> DataFrame:
+        return marts.write_mart(plans[name](), root, name, version)
+
+    with ThreadPoolExecutor(len(plans)) as pool:
+        return dict(zip(plans, pool.map(inheritable_thread_target(write), plans)))
+
+
 def rebuild_devices(
     raw_cooler: DataFrame,
     raw_events: DataFrame,
