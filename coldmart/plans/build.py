@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coldmart.operators.episodes import pulldown_episodes
@@ -49,6 +49,7 @@ def build_all(
     version = marts.new_version()
     updates, shaken = staged_reports(raw_cooler, raw_events, report_order, handshake_order)
     tables = _written(
+        spark,
         root,
         version,
         dim_date=lambda: dims.calendar(spark, *calendar_span),
@@ -59,6 +60,7 @@ def build_all(
     fact = marts.write_mart(fact, root, "fact_cooler_state_update", version)
     tables["fact_cooler_state_update"] = fact
     tables |= _written(
+        spark,
         root,
         version,
         fact_cooler_snapshot=lambda: slot_snapshot(fact),
@@ -69,7 +71,7 @@ def build_all(
 
 
 def _written(
-    root: str, version: str, **plans: Callable[[], DataFrame]
+    spark: SparkSession, root: str, version: str, **plans: Callable[[], DataFrame]
 ) -> dict[str, DataFrame]:
     """Marts that do not depend on each other, as Spark jobs submitted side by side."""
 
@@ -77,7 +79,7 @@ def _written(
         return marts.write_mart(plans[name](), root, name, version)
 
     with ThreadPoolExecutor(len(plans)) as pool:
-        return dict(zip(plans, pool.map(inheritable_thread_target(write), plans)))
+        return dict(zip(plans, pool.map(inheritable_thread_target(spark)(write), plans)))
 
 
 def rebuild_devices(
