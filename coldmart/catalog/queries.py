@@ -160,7 +160,8 @@ def calendar_order_days(spark, sf):
 def state_update_fact(spark, sf):
     updates, shaken = staged_reports(*_raw(spark, sf), A.REPORT_ORDER, A.HANDSHAKE_ORDER)
     devices = staged(dims.device_versions(shaken, updates), "devices")
-    fact = facts.state_update_fact(updates, devices, dims.battery_dim(updates))
+    batteries = staged(dims.battery_dim(updates), "batteries")
+    fact = facts.state_update_fact(updates, devices, batteries)
     return plain(
         fact.drop("display_unit", "protection_level", "brightness", "ambient_humidity_percent"),
         ["ambient_temperature_celsius"],

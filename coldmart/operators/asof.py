@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coldmart.operators.ordered import DAY, MICROS
+from coldmart.session import staged
 
 
 def asof_version(
@@ -25,6 +26,10 @@ def asof_version(
     the time buckets they cover, each key with a bucket width of its own: its whole span
     divided by its number of versions. That files at most two rows per version, and a row
     of the fact meets the versions of its bucket instead of every version of the key.
+
+    Both sides made of versions are written first. Their size is then a fact and not an
+    estimate made of joins and explodes, so small ones are broadcast from the start and the
+    fact is not shuffled for them.
     """
     start, end = F.unix_micros(valid_from), F.unix_micros(valid_to)
     carried = F.struct(*values)
@@ -44,6 +49,7 @@ def asof_version(
     per_key = per_key.withColumn(
         "_width", F.greatest(F.coalesce("_width", F.lit(DAY * MICROS)), F.lit(1).cast("bigint"))
     )
+    per_key = staged(per_key, "versions-per-key")
     filed = (
         versions.filter(closed)
         .select(key, start.alias("_from"), end.alias("_to"), carried.alias("_closed"))
@@ -59,6 +65,7 @@ def asof_version(
         )
         .drop("_width")
     )
+    filed = staged(filed, "versions-filed")
     moment = F.col("_at")
     found = (
         facts.withColumn("_at", F.unix_micros(at))

@@ -97,8 +97,9 @@ def _partials(flagged: DataFrame, device: str) -> DataFrame:
     series = Window.partitionBy(device, "_chunk").orderBy("updated_at", "state_update_key")
     over = F.col("_ends") | F.col("_fades")
     earlier = series.rowsBetween(Window.unboundedPreceding, -1)
-    block = Window.partitionBy(device, "_chunk", "_block").orderBy("updated_at", "state_update_key")
-    upto = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Opened within its block: it opens, or the last thing before it in the chunk did.
+    state = F.when(over, F.lit(False)).when(F.col("_opens"), F.lit(True))
+    running = F.coalesce(F.last(state, ignorenulls=True).over(earlier), F.lit(False))
     order = F.struct("updated_at", "state_update_key")
     held = F.col("held_seconds")
     parts = {
@@ -113,7 +114,7 @@ def _partials(flagged: DataFrame, device: str) -> DataFrame:
         flagged.withColumn(
             "_block", F.coalesce(F.count_if(over).over(earlier), F.lit(0).cast("bigint"))
         )
-        .withColumn("_opened", F.coalesce(F.count_if("_opens").over(upto) > 0, F.lit(False)))
+        .withColumn("_opened", F.col("_opens") | running)
         # Before its first opening a later block belongs to nothing: an ending came before.
         .filter((F.col("_block") == 0) | F.col("_opened"))
         .groupBy(device, "_chunk", "_block", "_opened")

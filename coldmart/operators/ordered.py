@@ -8,7 +8,8 @@ what crosses a chunk border on data that no longer grows with the rows:
 * ``with_halo``      copies the rows near a border into the chunk on the other side. Enough
                      when a rule never looks further than a known distance; one shuffle.
 * ``neighbours``     exact lag/lead at any distance. The first and last row of each chunk
-                     meet in a second window: at most two rows per chunk and series.
+                     meet in a second window: at most two rows per chunk and series, so
+                     with hourly chunks about 18,000 a year, whatever a series sends.
 * ``running_count``  in-chunk counts plus the chunk totals before them: one row per chunk.
 """
 

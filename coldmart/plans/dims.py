@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coldmart.functions import integer_key
-from coldmart.operators.ordered import DAY, neighbours, running_count, time_chunk
+from coldmart.operators.ordered import HOUR, neighbours, running_count, time_chunk
 from coldmart.schemas import BATTERY, CALENDAR, COOLER, conform
 from coldmart.session import staged
 from coldmart.sources.seeds import read_seed
@@ -19,7 +19,7 @@ CALENDAR_START, CALENDAR_END = "2026-01-01", "2027-12-31"
 
 
 def version_changes(
-    observed: DataFrame, key: str, at: str, version: str, chunk_seconds: int = 7 * DAY
+    observed: DataFrame, key: str, at: str, version: str, chunk_seconds: int = HOUR
 ) -> DataFrame:
     """The rows of ``observed`` that open a version: unlike the one before it in time.
 

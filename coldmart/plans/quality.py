@@ -196,7 +196,7 @@ def not_one_current(devices: DataFrame, device: str = "serial_number") -> DataFr
 
 
 def overlapping_versions(
-    devices: DataFrame, device: str = "serial_number", chunk_seconds: int = 30 * DAY
+    devices: DataFrame, device: str = "serial_number", chunk_seconds: int = DAY
 ) -> DataFrame:
     """How many pairs of validity windows of one device overlap, without forming a pair.
 

@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldmart.operators.ordered import DAY, MICROS, chunk_index, neighbours, time_chunk
+from coldmart.operators.ordered import HOUR, MICROS, chunk_index, neighbours, time_chunk
 from coldmart.plans.reading import instant
+from coldmart.session import staged
 
 # The steps a command goes through, and how long it is waited for.
 STEPS = ("requested", "rejected", "sent", "accepted", "applied", "unconfirmed")
@@ -100,6 +101,8 @@ def verify_applied(
             )
         ),
     )
+    # Commands are few; written, they are known to be, and the reports need not move.
+    filed = staged(filed, "commands-filed")
     seen = reports.select(
         device, F.unix_micros(at).alias("_at"), F.col(setting).alias("_shown")
     ).withColumn("_bucket", chunk_index(F.col("_at"), minute))
@@ -124,7 +127,7 @@ def link_sessions(
     at: str = "ts",
     up: str = "ble_connected",
     down: str = "ble_disconnected",
-    chunk_seconds: int = 7 * DAY,
+    chunk_seconds: int = HOUR,
 ) -> DataFrame:
     """Spans during which a link was up; one never seen to end has no end.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from coldmart.operators.ordered import DAY, chunk_index, neighbours, time_chunk
+from coldmart.operators.ordered import HOUR, chunk_index, neighbours, time_chunk
 
 # The functions below run in tasks; sent by value they need no package installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -83,7 +83,7 @@ def silence_spells(
     device: str = "serial_number",
     at: str = "ts",
     silence: int = 900,
-    chunk_seconds: int = DAY,
+    chunk_seconds: int = HOUR,
 ) -> DataFrame:
     """Stretches of at least ``silence`` seconds without a message on a link."""
     gap = F.unix_micros("_next") - F.unix_micros(at)
