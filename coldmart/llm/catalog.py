@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldmart.llm import line_dedup, licenses, mixing
+from coldmart.llm import chat, language, licenses, line_dedup, mixing, near_dedup, packing, url_filter
 from coldmart.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_url_filter(spark, sf_dir):
+    rules = [
+        ("org", "/", "allow"),
+        ("example.org", "/es/", "block"),
+        ("example.org", "/en/1", "block"),
+        ("com", "/fr/", "allow"),
+        ("com", "/de/", "block"),
+    ]
+    out = url_filter.judge(_table(spark, sf_dir, "pages"), rules, default="allow")
+    return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query
+def op2_language(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language.Model.fit(docs.filter(~held_out), "lang", "text")
+    out = language.identify(docs, model, F.col("doc_id")).withColumnRenamed("key", "doc_id")
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op5_line_dedup(spark, sf_dir):
     out = line_dedup.drop_common_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_length=1)
@@ -39,6 +62,35 @@ def op5_line_dedup(spark, sf_dir):
     )
 
 
+@query
+def op6_packing(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(_table(spark, sf_dir, "documents"), path, window=4096).select(
+        F.col("id").alias("doc_id"),
+        "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
+    )
+
+
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+@query
+def op7_chat_format(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame(
+        [(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema
+    )
+    formatted = chat.format_conversations(rows.union(added))
+    return chat.digests(formatted).withColumnRenamed("id", "conv_id")
+
+
+@query
+def op8_near_dedup(spark, sf_dir):
+    out = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=5, percent=85)
+    same = F.col("id").eqNullSafe(F.col("component_id"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", same.alias("kept"))
+
+
 @query
 def op9_license_scan(spark, sf_dir):
     return licenses.scan(_table(spark, sf_dir, "documents")).select(

@@ -9,6 +9,44 @@ def _lowered(text: str) -> str:
     return f"translate({text}, '{_UPPER}', '{_LOWER}')"
 
 
+URL_FILTER = f"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), parsed AS (
+  SELECT page_id, {_lowered("regexp_extract(rest, '^[^/?#]*')")} AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts
+), rules(h, p, v) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), met AS (
+  SELECT page_id, arg_max(h || p, [length(h || p), length(h)]) AS rule,
+         arg_max(v, [length(h || p), length(h)]) AS verdict
+  FROM parsed JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parsed LEFT JOIN met USING (page_id)
+"""
+
+# Every turn: '<turn ', the role, '>' and a line, the text, '</turn>' and a line; what is escaped
+# counts twice.
+CHAT_FORMAT = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), learned AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM said
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(length(loss))::BIGINT AS loss_chars,
+       sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256,
+       sum(16 + length(role) + length(text)
+           + length(regexp_replace(role || text, '[^\\<>]', '', 'g')))::BIGINT AS formatted_chars
+FROM learned GROUP BY conv_id
+"""
+
 LINE_DEDUP = f"""
 WITH lines AS (
   SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS place
@@ -131,6 +169,8 @@ FROM texts LEFT JOIN based USING (doc_id) LEFT JOIN joined USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filter": URL_FILTER,
+        "op7_chat_format": CHAT_FORMAT,
         "op5_line_dedup": LINE_DEDUP,
         "op9_license_scan": _licenses(),
         "op10_mixing": MIXING,

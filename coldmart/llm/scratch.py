@@ -37,3 +37,14 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A plain file in the shared folder, whatever store that is in."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    for at in range(0, len(data), 1 << 22):
+        out.write(bytearray(data[at : at + (1 << 22)]))
+    out.close()
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
