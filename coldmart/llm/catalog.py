@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldmart.llm import chat, language, licenses, line_dedup, mixing, near_dedup, packing, url_filter
+from coldmart.llm import (
+    chat,
+    exact_topk,
+    language,
+    licenses,
+    line_dedup,
+    mixing,
+    near_dedup,
+    packing,
+    rotated_codes,
+    url_filter,
+)
 from coldmart.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +65,16 @@ def op2_language(spark, sf_dir):
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op3_exact_topk(spark, sf_dir):
+    return exact_topk.search(_table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256.0)
+
+
+@query
+def op4_nearest(spark, sf_dir):
+    return rotated_codes.search(_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 @query
 def op5_line_dedup(spark, sf_dir):
     out = line_dedup.drop_common_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_length=1)

@@ -47,6 +47,22 @@ SELECT conv_id, count(*) AS n_turns,
 FROM learned GROUP BY conv_id
 """
 
+EXACT_TOPK = """
+WITH fit AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM fit q JOIN fit c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+       vec_id, score
+FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
 LINE_DEDUP = f"""
 WITH lines AS (
   SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS place
@@ -170,6 +186,7 @@ FROM texts LEFT JOIN based USING (doc_id) LEFT JOIN joined USING (doc_id)
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": URL_FILTER,
+        "op3_exact_topk": EXACT_TOPK,
         "op7_chat_format": CHAT_FORMAT,
         "op5_line_dedup": LINE_DEDUP,
         "op9_license_scan": _licenses(),
