@@ -27,10 +27,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of which no language has a third, are rejected.
     """
     model = language.Model.fit(docs, "lang", "text")
-    found = language.identify(docs, model, F.struct(*docs.columns))
+    found = language.identify(docs, model, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return kept.select(
-        *[(F.col("lang_pred") if c == "lang" else F.col(f"key.{c}")).alias(c) for c in docs.columns]
+        *[(F.col("lang_pred") if c == "lang" else F.col(f"key.`{c}`")).alias(c) for c in docs.columns]
     )
 
 
@@ -42,7 +42,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         "text": F.when(changed, F.col("kept_text")).otherwise(F.col("row.text")),
         "n_chars": F.when(changed, F.length("kept_text").cast("bigint")).otherwise(F.col("row.n_chars")),
     }
-    return found.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
