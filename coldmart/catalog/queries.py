@@ -21,7 +21,7 @@ from coldmart.catalog.star import star
 from coldmart.functions import iso_week_key
 from coldmart.operators import folding
 from coldmart.operators.asof import asof_version
-from coldmart.operators.bands import CUTS, band, with_band
+from coldmart.operators.bands import band, with_band
 from coldmart.operators.dedup import copies_disagree, one_copy
 from coldmart.operators.episodes import pulldown_episodes
 from coldmart.operators.slots import allocate, observed_span, slot_snapshot
@@ -30,7 +30,7 @@ from coldmart.plans import dims, facts, outlook, quality, reading, staging
 from coldmart.plans.build import staged_reports
 from coldmart.session import staged, tune
 from coldmart.sources import chunks, gateway, signals
-from coldmart.sources.seeds import read_seed
+from coldmart.sources.seeds import UNITS, read_seed
 from coldmart.streaming import commands, gaps
 from coldmart.streaming.throttle import throttle
 
@@ -250,7 +250,8 @@ def latest_stretch(spark, sf):
 
 @query
 def resample_20(spark, sf):
-    return plain(folding.resample_to(_snapshot(spark, sf)), FOLDED)
+    """The latest recording of each device, five hours (20 slots) to a point."""
+    return plain(folding.resample(_snapshot(spark, sf), 20), FOLDED)
 
 
 @query
@@ -268,7 +269,7 @@ def resample_longest(spark, sf):
         .agg(F.max_by("_stretch", F.struct("n", "_stretch")).alias("_stretch"))
     )
     chosen = heard.join(longest, ["serial_number", "_stretch"]).drop("_stretch")
-    return plain(folding.resample_to(chosen), FOLDED)
+    return plain(folding.resample(chosen, 20), FOLDED)
 
 
 @query
@@ -281,9 +282,7 @@ def complete_daily_series(spark, sf):
         "measure",
         "value",
     ).withColumn("series", F.concat_ws("/", "serial_number", "measure"))
-    out = folding.complete_series(
-        long, "series", "slot_started_at", "value", max_series=6, max_points=60
-    )
+    out = folding.complete_series(long, "series", "slot_started_at", "value")
     return plain(out.select("series", "slot_started_at", "value"), ["value"])
 
 
@@ -322,7 +321,7 @@ def _band_query(name: str) -> None:
     query(run)
 
 
-for _name in CUTS:
+for _name in UNITS:
     _band_query(_name)
 
 
@@ -397,8 +396,8 @@ def discharge_slope(spark, sf):
 
 @query
 def discharge_slope_history(spark, sf):
-    """The slope over each device's whole history instead of its last slots."""
-    out = folding.discharge_slope(_snapshot(spark, sf), budget=1_000_000)
+    """The slope over each device's whole history instead of its last hours."""
+    out = folding.discharge_slope(_snapshot(spark, sf), hours=None)
     return plain(out, ["slope_percent_per_hour"])
 
 

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from coldmart.plans import dims
-from coldmart.sources.seeds import CUTS, band_rows, read_seed
+from coldmart.sources.seeds import UNITS, band_rows, read_seed
 from coldmart.operators.bands import band, with_band
 from shapes import at, when
 
@@ -106,7 +106,22 @@ def test_bands_are_half_open_and_null_has_none(spark):
     assert [r["b_key"] for r in out] == [None, 1, 1, 2, 3, 5, 5]
     labels = [row[2] for row in band_rows("input_power")]
     assert labels == ["0 W", "< 10 W", "10..40 W", "40..70 W", ">= 70 W"]
-    assert {n: band(spark, n).count() for n in CUTS}["ambient_temperature"] == 9
+    assert {n: band(spark, n).count() for n in UNITS}["ambient_temperature"] == 9
+
+
+def test_any_number_of_bands_will_do(spark):
+    edges = [-(2.0**40), -7.5, -1.0, -0.25, 0.0, 0.3, 1.0, 2.0, *[3.0 + k / 4 for k in range(1500)], 2.0**70]
+    bounds = list(zip([None, *edges], [*edges, None]))
+    bands = spark.createDataFrame(
+        [(k, str(k), a, b, k) for k, (a, b) in enumerate(bounds)],
+        "band_key BIGINT, label STRING, lower DOUBLE, upper DOUBLE, sort_order BIGINT",
+    )
+    asked = [None, float("-inf"), -1e300, -8.0, -7.5, -0.5, 0.0, 0.29, 0.3, 1.5, 100.1, 1e9, 2.0**70, float("inf")]
+    values = spark.createDataFrame([(k, v) for k, v in enumerate(asked)], "n INT, v DOUBLE")
+    got = {r["n"]: r["b_key"] for r in with_band(values, F.col("v"), bands, "b").collect()}
+    for k, v in enumerate(asked):
+        want = None if v is None else sum(e <= v for e in edges)
+        assert got[k] == want, v
 
 
 def test_a_seed_can_be_read_from_a_folder(spark, tmp_path):

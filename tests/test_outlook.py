@@ -103,26 +103,29 @@ def test_folding_adds_weights_and_keeps_holes(spark):
     assert third["state_of_charge_start_percent"] is None and third["external_input_ratio"] is None
 
 
+FACTORS = (1, 2, 4, 8, 12, 16, 24, 48, 96)
+
+
 def test_groups_start_on_the_clock(spark):
     t = dt.datetime(2026, 6, 3, 14, 50)  # 23:50 in Japan
     df = spark.createDataFrame([(t,)], "t TIMESTAMP")
-    starts = df.select(*[group_start(F.col("t"), f).alias(str(f)) for f in folding.FOLD_FACTORS]).first()
-    local = [(starts[str(f)] + dt.timedelta(hours=9)).strftime("%d %H:%M") for f in folding.FOLD_FACTORS]
+    starts = df.select(*[group_start(F.col("t"), f).alias(str(f)) for f in FACTORS]).first()
+    local = [(starts[str(f)] + dt.timedelta(hours=9)).strftime("%d %H:%M") for f in FACTORS]
     assert local == ["03 23:45", "03 23:30", "03 23:00", "03 22:00", "03 21:00", "03 20:00", "03 18:00", "03 12:00", "03 00:00"]
 
 
-@pytest.mark.parametrize("offset", [0, 3, 7])
-def test_a_resampled_stretch_never_has_more_points_than_fit(spark, offset):
-    lengths = (1, 19, 20, 21, 39, 40, 79, 81, 160, 192)
+@pytest.mark.parametrize("factor", [1, 4, 20])
+def test_every_stretch_is_resampled_at_the_stated_grain(spark, factor):
+    lengths = (1, 19, 20, 21, 160, 192)
     rows = [
-        charge(back(200 + offset - n), 50, 50, serial_number=f"D{length}")
+        charge(back(200 - n), 50, 50, serial_number=f"D{length}")
         for length in lengths for n in range(length)
     ]
-    out = folding.resample_to(slots(spark, rows)).groupBy("serial_number", "factor").count().collect()
-    points = {int(r["serial_number"][1:]): (r["factor"], r["count"]) for r in out}
+    out = folding.resample(slots(spark, rows), factor).groupBy("serial_number").count().collect()
+    points = {int(r["serial_number"][1:]): r["count"] for r in out}
     assert sorted(points) == sorted(lengths)
-    assert all(n <= 20 for _, n in points.values())
-    assert points[19][0] == 1 and points[21][0] == 2
+    # A day of 96 slots may begin a group anew.
+    assert all(-(-n // factor) <= points[n] <= n // factor + 4 for n in lengths)
 
 
 def test_the_latest_stretch_stops_at_the_last_hole(spark):
@@ -190,11 +193,10 @@ def test_today_is_compared_with_yesterday_if_there_was_one(spark):
     assert compared((60, 50), (day + 60, 40)) == "less"
 
 
-def test_only_complete_series_are_drawn(spark):
+def test_only_complete_series_stay(spark):
     rows = [(s, c, v) for s in "ab" for c, v in ((1, 1.0), (2, None if s == "b" else 2.0))] + [("c", 1, 1.0)]
     points = spark.createDataFrame(rows, "s STRING, c INT, v DOUBLE")
     assert {r["s"] for r in folding.complete_series(points, "s", "c", "v").collect()} == {"a"}
-    assert folding.complete_series(points, "s", "c", "v", max_points=1).count() == 0
 
 
 def test_ranges_close_where_they_say(spark):
