@@ -30,45 +30,51 @@ def backfill_payload(raw: DataFrame) -> DataFrame:
 def explode_tlv(raw: DataFrame) -> DataFrame:
     """One row per parameter of any message, with the readings its bytes allow.
 
-    Bodies in the clear are read as they are, others from their joined notifications.
+    Bodies in the clear are read as they are, others from their joined notifications. Numbers of
+    any length are decimal text. A message that cannot be read is one row that says why in
+    ``error`` and has no key.
     """
     # Notifications are looked at only where there is no body in the clear.
-    sealed = F.when(F.col("plain").isNull(), F.col("frames"))
-    framed = computed(raw, _frames=F.transform(sealed, wire.clean_hex))
+    clear = F.coalesce(F.length("plain") > 0, F.lit(False))
+    framed = computed(raw, _frames=F.transform(F.when(~clear, F.col("frames")), wire.clean_hex))
     status = computed(framed, _status=wire.message_status(F.col("_frames")))
-    body = F.when(F.col("plain").isNotNull(), wire.clean_hex(F.col("plain"))).when(
+    body = F.when(clear, wire.clean_hex(F.col("plain"))).when(
         F.col("_status") == "ok", wire.joined_payload(F.col("_frames"))
     )
     bodies = computed(status, _body=body)
     coded = computed(bodies, _codes=wire.byte_codes(F.col("_body")))
-    rows = (
-        computed(coded, _tlv=wire.parse_parameters(F.col("_codes")))
-        .filter(F.col("_body").isNotNull() & F.col("_tlv.error").isNull())
-        .withColumn("_p", F.explode("_tlv.found"))
+    read = computed(coded, _tlv=wire.parse_parameters(F.col("_codes")))
+    fault = F.when(clear & F.col("_body").isNull(), "not_hex").when(~clear & (F.col("_status") != "ok"), F.col("_status"))
+    told = computed(read, error=F.coalesce(fault, F.col("_tlv.error")))
+    nothing = F.array(F.lit(None).cast("struct<key:int,from:int,count:int>"))
+    rows = told.withColumn(
+        "_p", F.explode(F.when(F.col("error").isNotNull(), nothing).otherwise(F.col("_tlv.found")))
     )
     codes, p = F.col("_codes"), F.col("_p")
     start, count = p["from"], p["count"]
     raw_hex = wire.hex_slice(F.col("_body"), start, count)
     typed = count > 1
     kind = F.when(typed, wire.hex_slice(F.col("_body"), start, F.lit(1)))
+    value_hex = wire.hex_slice(F.col("_body"), start + 1, count - 1)
     body_codes, value = wire.part(codes, start, count), wire.value_codes(codes, p)
     length = wire.value_count(p)
-    small, short = count.between(1, 7), length.between(1, 7)
     printable = (count > 0) & F.forall(body_codes, lambda c: c.between(32, 126))
     return rows.select(
         *raw.columns,
+        "error",
+        F.when(F.col("error").isNull(), F.get("_codes", F.lit(0)) == 0).alias("prefix"),
         F.upper(F.lpad(F.hex(p["key"].cast("bigint")), 2, "0")).alias("key"),
         kind.alias("type_byte"),
         count.cast("bigint").alias("length"),
         raw_hex.alias("hex"),
-        F.when(small, wire.le_unsigned(body_codes)).alias("uint_le"),
-        F.when(small, wire.le_signed(body_codes)).alias("int_le"),
-        F.when(typed, wire.hex_slice(F.col("_body"), start + 1, count - 1)).alias("value_hex"),
-        F.when(typed & short, wire.le_unsigned(value)).alias("value_uint_le"),
+        wire.le_unsigned_text(body_codes).alias("uint_le"),
+        wire.le_signed_text(body_codes).alias("int_le"),
+        F.when(typed, value_hex).alias("value_hex"),
+        F.when(typed, wire.le_unsigned_text(value)).alias("value_uint_le"),
         F.when((kind == wire.I16) & (length == 2), wire.le_signed(value)).alias("i16"),
         F.when((kind == wire.U8) & (length == 1), wire.le_unsigned(value)).alias("u8"),
         F.when((kind == wire.F32) & (length == 4), _float32(value)).alias("f32"),
-        F.when(kind == wire.TEXT, wire.ascii_text(value)).alias("text"),
+        F.when(kind == wire.TEXT, wire.utf8_text(value_hex)).alias("text"),
         F.when(printable, wire.ascii_text(body_codes)).alias("ascii"),
     )
 

@@ -99,18 +99,52 @@ def test_parameters_of_any_message_are_laid_out(spark):
                                 tlv(0xA4, b"\x02\xfe\xff"), tlv(0xA5, b"\x01\x07"), tlv(0xA6, b""), tlv(0xA7, b"ESP32")])
     df = spark.createDataFrame([("0829", plain.hex(), None), ("0829", None, [built(plain).hex()]), ("0829", "a105aa", None)], RAW)
     rows = explode_tlv(df).collect()
-    assert len(rows) == 14
+    assert [r["error"] for r in rows if r["key"] is None] == ["parameter_past_end"]
+    rows = [r for r in rows if r["key"] is not None]
+    assert len(rows) == 14 and all(r["prefix"] for r in rows)
     sealed = {r["key"]: r for r in rows if r["plain"] is None}
     clear = {r["key"]: r for r in rows if r["plain"] is not None}
     assert {k: r["hex"] for k, r in sealed.items()} == {k: r["hex"] for k, r in clear.items()}
-    assert (clear["A1"]["type_byte"], clear["A1"]["uint_le"], clear["A1"]["ascii"]) == (None, 0x31, "1")
+    assert (clear["A1"]["type_byte"], clear["A1"]["uint_le"], clear["A1"]["ascii"]) == (None, "49", "1")
     assert clear["A2"]["text"] == "h�" and clear["A2"]["ascii"] is None
     assert clear["A3"]["f32"] == -2.5
-    assert (clear["A4"]["i16"], clear["A4"]["value_uint_le"], clear["A4"]["int_le"]) == (-2, 65534, -510)
-    assert (clear["A5"]["u8"], clear["A6"]["length"], clear["A6"]["uint_le"]) == (7, 0, None)
+    assert (clear["A4"]["i16"], clear["A4"]["value_uint_le"], clear["A4"]["int_le"]) == (-2, "65534", "-510")
+    assert (clear["A5"]["u8"], clear["A6"]["length"], clear["A6"]["uint_le"]) == (7, 0, "0")
     assert (clear["A7"]["ascii"], clear["A7"]["type_byte"]) == ("ESP32", "45")
 
 
+@pytest.mark.parametrize(
+    "value",
+    [b"", b"\x01", b"\xff", bytes(7), b"\x80" * 7, b"\x01" * 8, b"\xff" * 8, b"\x00" * 20 + b"\x80", bytes(range(250)), b"\xfe" * 255],
+)
+def test_numbers_of_any_length_are_read(spark, value):
+    df = spark.createDataFrame([("x", tlv(0xA3, value).hex(), None)], RAW)
+    (row,) = explode_tlv(df).collect()
+    want = [int.from_bytes(value, "little"), int.from_bytes(value, "little", signed=True)]
+    assert [int(row["uint_le"]), int(row["int_le"])] == want
+    if len(value) > 1:
+        assert int(row["value_uint_le"]) == int.from_bytes(value[1:], "little")
+
+
+def test_texts_are_utf8_and_empty_bodies_are_looked_up_in_frames(spark):
+    texts = ["é", "冷蔵"]
+    spoilt = [b"\x00a\xff\xe3\x81b", b"\x00\xf0\x9f\x98"]
+    bodies = [tlv(0xA2, b"\x00" + t.encode()) for t in texts] + [tlv(0xA2, b) for b in spoilt]
+    df = spark.createDataFrame([("x", "", [built(b).hex()]) for b in bodies], RAW)
+    got = [r["text"] for r in explode_tlv(df).collect()]
+    assert got == texts + [b[1:].decode("utf-8", "replace") for b in spoilt]
+    bad = spark.createDataFrame([("x", "zz", None), ("x", None, None), ("x", "", []), ("x", None, ["00"])], RAW)
+    assert [r["error"] for r in explode_tlv(bad).collect()] == ["not_hex", "no_frames", "no_frames", "not_a_frame"]
+
+
+def test_a_long_number_in_a_report_is_read_or_named(spark):
+    payload, _ = decode(spark, body(B1=b"\x02\x2c\x01" + bytes(9)))
+    assert payload["input_watts"] == 300
+    payload, _ = decode(spark, body(A6=b"\x01\xec" + b"\xff" * 9))
+    assert payload["setpoint_celsius"] == -20
+    assert decode(spark, body(B1=b"\x02" + b"\x01" * 9)) == (None, "number_out_of_range")
+
+
 def test_infinities_are_no_reading(spark):
     df = spark.createDataFrame(
         [("x", tlv(0xA3, b"\x05" + struct.pack("<f", v)).hex(), None) for v in (float("inf"), float("nan"), 0.0, 1e-45, 3.0e38)], RAW)
