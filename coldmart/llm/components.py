@@ -11,29 +11,29 @@ from coldmart.llm import scratch
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links(a, b)``; ``root`` is the smallest of its component.
 
-    Each step takes the smallest label among a node's neighbours, then the label of that label,
-    so the number of steps grows with the logarithm of a component's width. A node with very
-    many neighbours costs minima that are taken before the shuffle, and joins that Spark splits.
+    Each step takes the smallest label among a node and its neighbours, then the label of that
+    label, so the number of steps grows with the logarithm of a component's width. A node with
+    very many neighbours costs minima that are taken before the shuffle, and joins that Spark
+    splits.
     """
-    edges = scratch.table(
-        links.select("a", "b").union(links.select("b", "a")).distinct(), "edges"
+    both = links.select("a", "b").union(links.select("b", "a"))
+    # With every node as its own neighbour, a minimum over neighbours keeps the node's own label.
+    edges = scratch.table(both.union(both.select("a", F.col("a").alias("b"))).distinct(), "edges")
+    labels = scratch.table(
+        edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "labels"
     )
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select(
-        "node", F.least("node", "least").alias("root")
-    )
-    labels = scratch.table(labels, "labels")
     while True:
         near = (
-            edges.join(labels.withColumnRenamed("node", "b"), "b")
+            edges.join(labels.select(F.col("node").alias("b"), "root"), "b")
             .groupBy(F.col("a").alias("node"))
-            .agg(F.min("root").alias("near"))
-        )
-        stepped = labels.join(near, "node").select(
-            "node", F.col("root").alias("old"), F.least("root", "near").alias("via")
+            .agg(
+                F.min("root").alias("via"),
+                F.max(F.when(F.col("a") == F.col("b"), F.col("root"))).alias("old"),
+            )
         )
         target = labels.select(F.col("node").alias("via"), F.col("root").alias("beyond"))
         labels = scratch.table(
-            stepped.join(target, "via").select(
+            near.join(target, "via").select(
                 "node",
                 F.least("via", "beyond").alias("root"),
                 (F.least("via", "beyond") != F.col("old")).alias("moved"),

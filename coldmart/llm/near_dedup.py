@@ -8,10 +8,10 @@
    its nodes are compared with its heads, the nodes most like all others: copies of one text that
    are less like each other than like the text would else part from it at greater depth.
 3. In each region, pairs whose signatures agree about as often as the threshold asks are
-   candidates, and in each crowd those with a head. In the first round each node proposes its few best partners. Pairs are confirmed
-   on full sets, links make components. Later rounds propose the following partners, but only
-   where two components could still meet, until every candidate is tested or needless: no number
-   of partners is a limit, as a pair inside one component cannot change the result.
+   candidates, and in each crowd those with a head. In the first round each node proposes its few
+   best partners. Pairs are confirmed on full sets, links make components. The second round
+   proposes all other partners, but only of other components, so every candidate is tested or
+   needless: a pair inside one component cannot change the result.
 4. A document's component is the smallest id that its node's component holds.
 
 Hot groups: copies collapse before anything is compared, buckets are counted before a shuffle,
@@ -40,10 +40,10 @@ from coldmart.llm.hashing import batches_of, mix, numbers, shingles, word_hashes
 
 TREES, OWN = 16, 8
 VALUES = TREES * OWN
-DEPTHS = (4, 6, 8, 12, 16, 24, 48, VALUES)
+DEPTHS = (4, 8, 20, VALUES)
 REGION = 512
 HEADS = 64  # of each crowd, compared with all of it
-RANKS = (0, 2, 16, REGION)  # partners proposed in each round
+RANKS = (0, 3, REGION)  # partners proposed in each round
 MARGIN = 0.13  # four standard deviations of the share of VALUES that agree
 
 _A = (numbers(VALUES, 3) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -279,14 +279,6 @@ def _rooted(df: DataFrame, labels: DataFrame | None, node: str = "node") -> Data
 
 def _from_regions(regions, labels, cut: float, low: int, high: int) -> DataFrame:
     rows = _rooted(regions, labels)
-    if labels is not None:  # only where two components could still meet
-        own = F.coalesce("root", "node")
-        divided = (
-            rows.groupBy("region")
-            .agg(F.min(own).alias("least"), F.max(own).alias("most"))
-            .filter("least <> most")
-        )
-        rows = rows.join(divided.select("region"), "region", "left_semi")
     return (
         rows.select("region", "node", "signature", "root")
         .repartition("region")
@@ -360,15 +352,12 @@ def near_duplicates(
         "sets",
     )
     cut = percent / 100 - MARGIN
-    links, tested, labels = None, None, None
+    links, labels = None, None
     for low, high in zip(RANKS, RANKS[1:]):
         proposed = _from_regions(regions, labels, cut, low, high)
         if crowded:
             proposed = proposed.union(_from_crowds(crowds, heads, labels, cut, low, high))
-        proposed = proposed.distinct()
-        if tested is not None:
-            proposed = proposed.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.table(proposed, "pairs")
+        pairs = scratch.table(proposed.distinct(), "pairs")
         if pairs.isEmpty():
             break
         confirmed = scratch.table(
@@ -379,7 +368,6 @@ def near_duplicates(
             "links",
         )
         links = confirmed if links is None else links.union(confirmed)
-        tested = pairs if tested is None else tested.union(pairs)
         labels = components(links)
     placed = rows.select("id", "version", F.col("n").alias("n_shingles"), "node")
     placed = (
