@@ -31,7 +31,7 @@ from coldmart.plans.build import staged_reports
 from coldmart.session import staged, tune
 from coldmart.sources import chunks, gateway, signals
 from coldmart.sources.seeds import UNITS, read_seed
-from coldmart.streaming import commands, gaps
+from coldmart.streaming import arrivals, commands, gaps
 from coldmart.streaming.throttle import throttle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -533,7 +533,7 @@ def copies_that_disagree(spark, sf):
 
 @query
 def reports_not_reflected(spark, sf):
-    """Reports of the raw stream missing from a fact that lost its February."""
+    """Reports that a fact as it stood at ``END`` does not hold: the rule, given something to find."""
     fact = _fact(spark, sf).filter(reading.in_window("updated_at", None, END, "[)"))
     return plain(quality.unreflected(A.raw_cooler(spark, sf), fact, reading.instant(NOW)))
 
@@ -561,7 +561,7 @@ def silence_spells(spark, sf):
 
 @query
 def sequence_gaps(spark, sf):
-    return plain(gaps.sequence_gaps(A.link_events(A.events(spark, sf))))
+    return plain(gaps.sequence_gaps(A.numbered_events(A.events(spark, sf))))
 
 
 @query
@@ -587,6 +587,26 @@ def verified_commands(spark, sf):
     return plain(out.select("command_id", "serial_number", "outcome", "shown_at", "verified"))
 
 
+@query
+def arrivals_due(spark, sf):
+    """Rows not yet built: one kind half built, one rebuilt smaller than its mark, others never."""
+    counts = A.events(spark, sf).groupBy(F.col("event_type").alias("table")).agg(F.count(F.lit(1)).alias("rows"))
+    built = F.when(F.col("table") == "error", F.col("rows") * 2).otherwise(F.floor(F.col("rows") / 2))
+    marks = counts.filter("table in ('click', 'error')").select("table", built.cast("bigint").alias("built_through"))
+    return plain(arrivals.arrived_since(counts, marks))
+
+
+@query
+def gateway_sessions(spark, sf):
+    """Spans of the gateway's stream: up on a signup, down on an error, per boot."""
+    marks = A.events(spark, sf).filter("event_type in ('signup', 'error')").selectExpr(
+        f"concat('COOLER-', user_id % 3, '/b', us div {A.BOOT_MICROS}) as boot_id",
+        "timestamp_micros(us) as ts",
+        "case when event_type = 'signup' then 'gateway_connected' else 'gateway_disconnected' end as kind",
+    )
+    return plain(commands.gateway_sessions(marks))
+
+
 @query
 def link_sessions(spark, sf):
     return plain(commands.link_sessions(A.link_states(A.events(spark, sf))))

@@ -40,6 +40,7 @@ def flag_reports(
     ``_fades`` marks an ending known only from nobody following within the silence. For
     the very last report of a device that is not an ending; see ``_assemble``.
     """
+    # What an episode is made of.
     columns = [
         device, "state_update_key", "cooler_key", "battery_key", "boot_id", "updated_at",
         "held_seconds", "setpoint_celsius", "interior_temperature_celsius",

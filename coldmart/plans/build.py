@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from coldmart.operators.episodes import pulldown_episodes
 from coldmart.operators.slots import slot_snapshot
 from coldmart.plans import dims, facts, staging
-from coldmart.session import staged
+from coldmart.session import discard, staged, staged_so_far
 from coldmart.sources import marts
 
 
@@ -46,7 +46,7 @@ def build_all(
     version: running it again is always safe.
     """
     spark = raw_cooler.sparkSession
-    version = marts.new_version()
+    version, before = marts.new_version(), staged_so_far(spark)
     updates, shaken = staged_reports(raw_cooler, raw_events, report_order, handshake_order)
     tables = _written(
         spark,
@@ -67,6 +67,7 @@ def build_all(
         fact_cooler_pulldown=lambda: pulldown_episodes(fact),
     )
     marts.publish(spark, root, version)
+    discard(spark, before)  # the marts stand on their own files
     return tables
 
 
@@ -99,6 +100,7 @@ def rebuild_devices(
     """
     spark = raw_cooler.sparkSession
     version, before = marts.new_version(), marts.current_version(spark, root)
+    earlier = staged_so_far(spark)
     changed = changed.select("serial_number").distinct()
     updates, shaken = staged_reports(raw_cooler, raw_events, report_order, handshake_order)
     updates = updates.join(changed, "serial_number", "left_semi")
@@ -123,4 +125,5 @@ def rebuild_devices(
     tables["fact_cooler_snapshot"] = merged("fact_cooler_snapshot", slot_snapshot(fresh))
     tables["fact_cooler_pulldown"] = merged("fact_cooler_pulldown", pulldown_episodes(fresh))
     marts.publish(spark, root, version)
+    discard(spark, earlier)
     return tables

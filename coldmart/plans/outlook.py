@@ -22,6 +22,7 @@ from coldmart.plans.reading import (
 )
 
 DEVICE = "serial_number"
+# Reasons for giving no outlook.
 PLUGGED_IN, NO_SLOPE = "plugged_in", "no_slope"
 MORNING_HOUR = 7
 
@@ -47,7 +48,7 @@ def plugged_in() -> Column:
 
 
 def outlook(latest: DataFrame, slope: DataFrame, target: dt.datetime) -> DataFrame:
-    """Charge expected at ``target`` if the recent slope holds, or why it is not given."""
+    """A straight line from each device's last charge to ``target``, or the reason there is none."""
     known = F.col("slope_percent_per_hour").isNotNull() & ~plugged_in()
     charge, rate = F.col("state_of_charge_percent"), F.col("slope_percent_per_hour")
     hours = (F.unix_micros(instant(target)) - F.unix_micros("updated_at")) / F.lit(3.6e9)
@@ -123,10 +124,10 @@ def reached_episodes(finished: DataFrame) -> DataFrame:
 def daily_summary(
     fact: DataFrame, snapshot: DataFrame, pulldowns: DataFrame, now: dt.datetime
 ) -> DataFrame:
-    """One row per device ever heard from: last state, energy, outlook, last recording."""
+    """One row per device heard from by ``now``: last state then, energy, outlook, last recording."""
     day = dt.timedelta(days=1)
     slots = snapshot.filter(in_window("slot_started_at", now - 2 * day, now, "[)"))
-    latest = latest_state(fact)
+    latest = latest_state(fact, now)
     expected = empty_before(outlook(latest, discharge_slope(slots), next_morning_after(now)), now)
     return (
         expected.join(energy_vs_previous(fact, now), DEVICE, "left")

@@ -15,6 +15,7 @@ from coldmart.functions import iso_week_key
 
 JST = dt.timezone(dt.timedelta(hours=9))
 
+# The columns each read answers with.
 STATE_COLUMNS = [
     "updated_at", "setpoint_celsius", "interior_temperature_celsius", "state_of_charge_percent",
     "battery_state", "external_input", "input_watts", "charge_watts", "discharge_watts",

@@ -75,6 +75,7 @@ def state_update_key() -> Column:
 
 
 def flatten_report(df: DataFrame) -> DataFrame:
+    # Fields of the payload that keep their names.
     plain = [
         "serial_number", "battery_serial_number", "display_unit", "protection_level",
         "brightness", "battery_state", "setpoint_celsius", "interior_temperature_celsius",

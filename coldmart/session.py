@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -39,6 +41,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 _local_folders: dict[str, str] = {}
+_staged: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,6 +58,7 @@ def shared_folder(spark: SparkSession) -> str:
     application = spark.sparkContext.applicationId
     if application not in _local_folders:
         _local_folders[application] = tempfile.mkdtemp(prefix="coldmart-")
+        atexit.register(shutil.rmtree, _local_folders[application], ignore_errors=True)
     return _local_folders[application]
 
 
@@ -70,4 +74,18 @@ def staged(df: DataFrame, name: str, cluster_by: tuple[str, ...] = ()) -> DataFr
     if cluster_by:
         df = df.sortWithinPartitions(*cluster_by)
     df.write.mode("errorifexists").parquet(path)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_so_far(spark: SparkSession) -> int:
+    return len(_staged.get(spark.sparkContext.applicationId, []))
+
+
+def discard(spark: SparkSession, since: int = 0) -> None:
+    """Delete what ``staged`` wrote from the ``since``-th table on, once nothing reads it."""
+    paths = _staged.get(spark.sparkContext.applicationId, [])
+    for path in paths[since:]:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    del paths[since:]

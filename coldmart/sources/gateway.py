@@ -48,9 +48,9 @@ def _shaped(df: DataFrame, schema, given: dict[str, Column]) -> DataFrame:
 def records_from_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cooler records, event records) out of the events a gateway serves.
 
-    A message becomes a cooler row; a payload the contract does not describe is dropped and
-    the frames are kept. A reader's own loss becomes ``gateway_dropped``. The envelope's
-    numbering is not stored; the jumps in it are found by ``streaming.gaps``.
+    Messages go to the first; where a payload has fields or values unknown to the schema, only
+    its frames stay. Everything else goes to the second, and losses that the gateway reports are
+    named ``gateway_dropped`` there. Numbers of envelopes are for ``streaming.gaps`` alone.
     """
     stampless = F.col("ts").isNull() | F.col("uptime_seconds").isNull() | F.col("boot_id").isNull()
     usable = events.filter(F.col("kind").isNotNull() & ~stampless)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +50,10 @@ def publish(spark: SparkSession, root: str, version: str) -> None:
 def current_version(spark: SparkSession, root: str) -> str | None:
     try:
         pointers = spark.read.schema(POINTER).parquet(f"{root}/_pointer")
-    except Exception:  # noqa: BLE001 - no pointer yet
-        return None
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # nothing was published yet
     row = pointers.agg(F.max_by("version", F.struct("published_at", "version")).alias("v")).first()
     return row["v"]
 

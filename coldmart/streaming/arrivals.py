@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,7 +70,7 @@ def run_due(
             # The batch number is a partition of its own, so a retry replaces its own rows.
             target = f"{raw}/{table}/_batch={number}"
             stamped(parsed).write.mode("overwrite").partitionBy("_ingest_date").parquet(target)
-            rows += spark.read.parquet(target).count() if _holds_rows(spark, target) else 0
+            rows += _rows_in(spark, target)
         if rows == 0:
             return
         build(
@@ -97,8 +98,22 @@ def _records(lines: DataFrame, stream: str) -> DataFrame:
     return good
 
 
-def _holds_rows(spark: SparkSession, path: str) -> bool:
-    """Whether a partitioned write left any file behind; an empty one has no schema to read."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)
-    return any(status.isDirectory() for status in found)
+def _rows_in(spark: SparkSession, path: str) -> int:
+    """Rows of a partitioned table just written; from the files' footers alone."""
+    try:
+        return spark.read.parquet(path).count()
+    except AnalysisException as exc:
+        if exc.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return 0  # nothing was written, so there is no file to ask
+
+
+def arrived_since(counts: DataFrame, marks: DataFrame) -> DataFrame:
+    """``table, rows, fresh`` out of ``counts(table, rows)`` and ``marks(table, built_through)``.
+
+    Raw tables only grow, so what is above the mark is new. One that holds less than its mark was
+    replaced since; then all of it is new. A table without a mark has never been built.
+    """
+    mark = F.coalesce("built_through", F.lit(0).cast("bigint"))
+    fresh = F.when(F.col("rows") < mark, F.col("rows")).otherwise(F.col("rows") - mark)
+    return counts.join(marks, "table", "left").select("table", "rows", fresh.alias("fresh"))

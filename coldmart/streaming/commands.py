@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coldmart.operators.ordered import HOUR, MICROS, chunk_index, neighbours, time_chunk
@@ -34,26 +34,34 @@ def command_outcomes(
         *[F.min(F.when(asked, F.col(c))).alias(c) for c in extra],
         F.min(F.when(F.col("error").isNotNull(), F.struct(at, "error")))["error"].alias("error"),
     )
-    shown = F.col("accepted_at").isNotNull() & (F.col("applied_at") >= F.col("accepted_at"))
     late = (
         F.lit(False)
         if now is None
         else F.col("sent_at").isNotNull()
         & (F.unix_micros("sent_at") + TIMEOUT_SECONDS * MICROS <= F.unix_micros(instant(now)))
     )
-    return folded.withColumn(
-        "outcome",
+    return folded.withColumn("outcome", _outcome(late))
+
+
+def _outcome(late: Column) -> Column:
+    """How a command came out; ``late`` says that a sent one has been waited for long enough."""
+    shown = F.col("accepted_at").isNotNull() & (F.col("applied_at") >= F.col("accepted_at"))
+    return (
         F.when(F.col("rejected_at").isNotNull(), "rejected")
         .when(shown, "applied")
         .when(F.col("unconfirmed_at").isNotNull() | late, "unconfirmed")
-        .otherwise("pending"),
+        .otherwise("pending")
     )
 
 
 def stream_command_outcomes(
     events: DataFrame, at: str = "ts", lateness: str = "1 minute", window: str = "1 minute"
 ) -> DataFrame:
-    """Streaming form: a command's steps lie within its timeout, so they share a session."""
+    """Streaming form: a command's steps lie within its timeout, so they share a session.
+
+    A session closes after the timeout, so a command that was sent by then is late; one that was
+    only asked for is pending, as in the batch form.
+    """
     kind = F.col("kind")
     steps = events.filter(F.col("command_id").isNotNull() & kind.startswith("command_"))
     folded = (
@@ -61,13 +69,7 @@ def stream_command_outcomes(
         .groupBy("command_id", F.session_window(at, window))
         .agg(*[F.min(F.when(kind == f"command_{s}", F.col(at))).alias(f"{s}_at") for s in STEPS])
     )
-    shown = F.col("accepted_at").isNotNull() & (F.col("applied_at") >= F.col("accepted_at"))
-    return folded.drop("session_window").withColumn(
-        "outcome",
-        F.when(F.col("rejected_at").isNotNull(), "rejected")
-        .when(shown, "applied")
-        .otherwise("unconfirmed"),
-    )
+    return folded.drop("session_window").withColumn("outcome", _outcome(F.col("sent_at").isNotNull()))
 
 
 def verify_applied(

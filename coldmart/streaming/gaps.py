@@ -20,11 +20,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def sequence_gaps(
     events: DataFrame, scope: Sequence[str] = ("session",), chunk_length: int = 100_000
 ) -> DataFrame:
-    """A row per jump in the numbering, and per reader's own loss.
+    """Where numbers are missing, and where a reader says that it lost some.
 
-    ``scope`` is where one numbering runs. A ``dropped`` event accounts for the numbers up
-    to its own, so it is a loss of ``count`` and never a gap. Only rows at a jump or a
-    chunk border survive the first window.
+    Numbers run within ``scope``. What a reader reports (``dropped``) is one row with its
+    ``count``; the numbers before it are thereby explained and make no gap of their own. Only
+    rows at a jump or a chunk border survive the first window.
     """
     previous = F.col("_previous")
     if "count" not in events.columns:
@@ -61,17 +61,24 @@ def _follow_numbers(
     rows = pd.concat(list(batches)).sort_values("seq")  # one micro-batch of one numbering
     out = []
     for seq, kind, count in zip(rows["seq"], rows["kind"], rows["count"]):
+        late = expected is not None and seq < expected
         if kind == "dropped":
             out.append((key[0], "gateway_dropped", None, None, count))
-        elif expected is not None and seq != expected:
+        elif expected is not None and seq > expected:
             out.append((key[0], "gateway_gap", expected, int(seq), None))
-        expected = int(seq) + 1
+        if not late:
+            expected = int(seq) + 1
     state.update((expected,))
     yield pd.DataFrame(out, columns=["scope", "kind", "expected", "received", "count"])
 
 
 def stream_sequence_gaps(events: DataFrame, scope: str = "session") -> DataFrame:
-    """The streaming form: per numbering the state is the one number expected next."""
+    """The streaming form: per numbering the state is the one number expected next.
+
+    A number that comes late, after the gap it belongs to was reported, is no gap and leaves the
+    expectation as it is. A numbering is one number of state and is kept for good: a processing
+    time limit would keep an ``availableNow`` run from ever ending.
+    """
     keyed = events.select(F.col(scope).cast("string").alias("scope"), "seq", "kind", "count")
     return keyed.groupBy("scope").applyInPandasWithState(
         _follow_numbers, GAP_ROWS, "expected BIGINT", "append", GroupStateTimeout.NoTimeout

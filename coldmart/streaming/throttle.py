@@ -114,7 +114,10 @@ def throttle(
 def stream_throttle(
     events: DataFrame, key: str, at: str, columns: Sequence[str], interval: float = 60.0
 ) -> DataFrame:
-    """Streaming form: per key the state is the time of the last row let out."""
+    """Streaming form: per key the state is the time of the last row let out.
+
+    A row older than that comes too late to be let out.
+    """
     pause = int(interval * MICROS)
     schema = ", ".join(
         f"{c} {events.schema[c].dataType.simpleString()}" for c in (key, at, *columns)
