@@ -503,6 +503,79 @@ def quality_report(spark, sf):
     return quality.violations(tables, NOW)
 
 
+def _damaged(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Raw and star with faults of every kind put in, by charge or number of reports of a row."""
+    cooler, events = _raw(spark, sf)
+    out = dict(star(spark, sf))
+    soc, col = F.col("payload.state_of_charge_percent"), F.col
+
+    def set_when(df: DataFrame, condition, name: str, value) -> DataFrame:
+        return df.withColumn(name, F.when(condition, value).otherwise(col(name)))
+
+    payload = (
+        col("payload")
+        .withField("state_of_charge_percent", F.when(soc == 2, 107).otherwise(soc).cast("bigint"))
+        .withField(
+            "setpoint_celsius",
+            F.when(soc == 3, 99).otherwise(col("payload.setpoint_celsius")).cast("bigint"),
+        )
+    )
+    again = cooler.filter(soc == 5).withColumn("frames", F.array(F.lit("FF")))
+    raw = set_when(cooler.unionByName(again), soc == 1, "frames", F.array().cast("array<string>"))
+    raw = set_when(raw, soc == 4, "plain", F.lit(None).cast("string"))
+    out["raw_cooler"] = raw.withColumn("payload", payload)
+    later = events.filter("kind = 'ble_negotiated'").withColumn("ts", col("ts") + F.expr("interval 1 second"))
+    out["raw_events"] = events.unionByName(later)
+
+    fact = out["fact_cooler_state_update"]
+    charge = col("state_of_charge_percent")
+    fact = fact.filter(charge != 9).unionByName(fact.filter(charge == 8))
+    fact = set_when(fact, charge == 3, "interior_temperature_celsius", F.lit(99).cast("bigint"))
+    fact = set_when(fact, charge == 4, "external_input", ~col("external_input"))
+    fact = set_when(fact, charge == 5, "date_key", col("date_key") + 10_000)
+    fact = set_when(fact, charge == 6, "held_seconds", col("held_seconds") + 1)
+    fact = set_when(fact, charge == 7, "battery_key", F.lit(-5).cast("bigint"))
+    fact = set_when(fact, charge == 10, "battery_state", F.lit("melted"))
+    fact = set_when(fact, charge == 11, "updated_at", F.lit(None).cast("timestamp"))
+    out["fact_cooler_state_update"] = set_when(fact, charge == 2, "state_of_charge_percent", F.lit(107).cast("bigint"))
+
+    snap, first = out["fact_cooler_snapshot"], col("update_count")
+    snap = snap.filter(first != 7).unionByName(snap.filter(first == 6))
+    snap = set_when(snap, first == 2, "covered_seconds", F.lit(901.0))
+    snap = set_when(snap, first == 3, "external_input_ratio", F.lit(1.5))
+    snap = set_when(snap, first == 4, "state_of_charge_delta_percent", col("state_of_charge_delta_percent") + 1)
+    out["fact_cooler_snapshot"] = set_when(snap, first == 5, "discharged_watt_hours", F.lit(26.0))
+
+    pull, kind = out["fact_cooler_pulldown"], col("update_count") % 5
+    pull = pull.unionByName(pull.filter(kind == 4))
+    pull = set_when(pull, kind == 1, "ended_at", col("started_at") - F.expr("interval 1 hour"))
+    pull = set_when(pull, kind == 2, "outcome", F.lit(None).cast("string"))
+    pull = set_when(pull, kind == 0, "trigger", F.lit("other"))
+    out["fact_cooler_pulldown"] = set_when(pull, kind == 3, "duration_seconds", F.lit(90_000.0))
+
+    devices = out["dim_cooler"]
+    twins = devices.filter("is_current").withColumn("cooler_key", col("cooler_key") + 1)
+    out["dim_cooler"] = devices.unionByName(twins)
+    return out
+
+
+@query
+def quality_report_broken(spark, sf):
+    """The rules over a star with faults put in, so that each of them has something to find."""
+    return quality.violations(_damaged(spark, sf), NOW)
+
+
+@query
+def column_rules_broken(spark, sf):
+    """Required, unique and enumerated columns of the damaged marts; types are left to tests."""
+    tables, parts = _damaged(spark, sf), None
+    for name in ("fact_cooler_state_update", "fact_cooler_pulldown", "dim_cooler", "dim_battery"):
+        found = quality.schema_violations(tables[name], quality.DECLARED[name]).filter("check <> 'type'")
+        found = found.select(F.lit(name).alias("table"), "check", "column", "violations")
+        parts = found if parts is None else parts.unionByName(found)
+    return plain(parts)
+
+
 @query
 def schema_report(spark, sf):
     """Declared types, required, unique and enumerated columns of every mart."""
