@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,14 @@ from coldmart.session import staged
 STEPS = ("requested", "rejected", "sent", "accepted", "applied", "unconfirmed")
 TIMEOUT_SECONDS = 10
 
+# What can be set, and as what its reports show it.
+SETTINGS = {
+    "setpoint_celsius": "bigint",
+    "display_unit": "string",
+    "protection_level": "string",
+    "brightness": "string",
+}
+
 
 def command_outcomes(
     events: DataFrame, at: str = "ts", now: dt.datetime | None = None
@@ -77,21 +85,24 @@ def verify_applied(
     reports: DataFrame,
     device: str = "serial_number",
     at: str = "updated_at",
-    setting: str = "setpoint_celsius",
+    settings: Mapping[str, str] = SETTINGS,
     timeout: int = TIMEOUT_SECONDS,
 ) -> DataFrame:
     """Re-derive from the reports whether an acknowledged command took effect.
 
     The first report after the acknowledgement and within the timeout of sending that shows
-    the value asked for. Commands and reports meet per device and minute, not per device.
+    the value asked for, read as the type of its own setting. Commands and reports meet per
+    device and minute, not per device.
     """
+    shown = [name for name in settings if name in reports.columns]
     minute = 60 * MICROS
     accepted = commands.filter(
-        F.col("accepted_at").isNotNull() & (F.col("setting") == setting)
+        F.col("accepted_at").isNotNull() & F.col("setting").isin(shown)
     ).select(
         "command_id",
         device,
-        F.expr("try_cast(value as bigint)").alias("_asked"),
+        F.col("setting").alias("_setting"),
+        F.col("value").alias("_asked"),
         F.unix_micros("accepted_at").alias("_from"),
         (F.unix_micros("sent_at") + F.lit(timeout * MICROS)).alias("_until"),
     )
@@ -106,14 +117,18 @@ def verify_applied(
     # Commands are few; written, they are known to be, and the reports need not move.
     filed = staged(filed, "commands-filed")
     seen = reports.select(
-        device, F.unix_micros(at).alias("_at"), F.col(setting).alias("_shown")
+        device, F.unix_micros(at).alias("_at"), *[F.col(name).alias(f"_has_{name}") for name in shown]
     ).withColumn("_bucket", chunk_index(F.col("_at"), minute))
+    met = F.lit(False)
+    for name in shown:
+        asked = F.col("_asked").try_cast(settings[name])
+        met = met | ((F.col("_setting") == name) & F.coalesce(F.col(f"_has_{name}") == asked, F.lit(False)))
     first = (
         filed.join(seen, [device, "_bucket"])
         .filter(
             (F.col("_at") > F.col("_from"))
             & (F.col("_at") <= F.col("_until"))
-            & (F.col("_shown") == F.col("_asked"))
+            & met
         )
         .groupBy("command_id")
         .agg(F.timestamp_micros(F.min("_at")).alias("shown_at"))

@@ -146,6 +146,18 @@ def test_a_command_is_verified_by_the_first_report_that_shows_it(spark):
     assert [rows[c]["verified"] for c in ("ok", "early", "lost", "no")] == [True, False, False, False]
 
 
+def test_every_setting_is_verified_as_its_own_type(spark):
+    asked = [("a", "setpoint_celsius", "-5"), ("b", "brightness", "high"), ("c", "brightness", "5"), ("d", "unknown", "1"),
+             ("e", "setpoint_celsius", "cold")]
+    outcomes = spark.createDataFrame(
+        [(c, "D1", s, v, at(0.1), at(0.2)) for c, s, v in asked],
+        "command_id STRING, serial_number STRING, setting STRING, value STRING, sent_at TIMESTAMP, accepted_at TIMESTAMP",
+    )
+    reports = fact(spark, [dict(t=3, setpoint_celsius=-5), dict(t=4, brightness="high")])
+    rows = {r["command_id"]: r["verified"] for r in commands.verify_applied(outcomes, reports).collect()}
+    assert rows == {"a": True, "b": True, "c": False, "d": False, "e": False}
+
+
 def test_link_sessions_end_with_the_next_disconnection(spark):
     marks = [("up", 0), ("down", 50), ("down", 60), ("up", 100), ("up", 200), ("down", 90000), ("up", 90001)]
     df = spark.createDataFrame([("D", at(t), f"ble_{k}") for k, t in marks] + [("D", at(150), "message")],
