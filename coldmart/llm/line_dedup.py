@@ -63,13 +63,15 @@ def drop_common_lines(
         ),
         "line-keys",
     )
-    common = (
+    # A table, so that the join below is a plain one whose large partitions Spark splits.
+    common = scratch.table(
         hashed.select(F.explode(F.array_distinct("keys")).alias("key"))
         .filter("key IS NOT NULL")
         .groupBy("key.a", "key.b")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_docs)
-        .select("a", "b")
+        .select("a", "b"),
+        "common-lines",
     )
     placed = hashed.select("id", "version", F.posexplode("keys").alias("position", "key")).filter(
         "key IS NOT NULL"
