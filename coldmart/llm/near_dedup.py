@@ -8,10 +8,11 @@
    its nodes are compared with its heads, the nodes most like all others: copies of one text that
    are less like each other than like the text would else part from it at greater depth.
 3. In each region, pairs whose signatures agree about as often as the threshold asks are
-   candidates, and in each crowd those with a head. In the first round each node proposes its few
-   best partners. Pairs are confirmed on full sets, links make components. The second round
-   proposes all other partners, but only of other components, so every candidate is tested or
-   needless: a pair inside one component cannot change the result.
+   candidates, and in each crowd those with a head. First each node proposes its few best partners,
+   pairs are confirmed on full sets, and links make components. Then, where a region has
+   candidates between different components, the sets of those nodes come to the region and all of
+   them are compared there; only links that join components leave it. So every candidate is
+   tested or needless, as a pair inside one component cannot change the result.
 4. A document's component is the smallest id that its node's component holds.
 
 Hot groups: copies collapse before anything is compared, buckets are counted before a shuffle,
@@ -43,9 +44,11 @@ VALUES = TREES * OWN
 DEPTHS = (4, 8, 20, VALUES)
 REGION = 512
 HEADS = 64  # of each crowd, compared with all of it
-RANKS = (0, 3, REGION)  # partners proposed in each round
+BEST = 2  # partners that each node proposes in a region or crowd at first
 MARGIN = 0.13  # four standard deviations of the share of VALUES that agree
 
+_SPREAD = np.uint32(0x9E3779B1)  # a byte of this product depends on the whole value
+
 _A = (numbers(VALUES, 3) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (numbers(VALUES, 4) >> np.uint64(32)).astype(np.uint32)
 
@@ -86,7 +89,7 @@ def _profile(batches, width: int):
                 salt = numbers(DEPTHS[0], 5)
                 nodes.append(_node(members))
                 bands.append(mix((first * salt).sum(axis=1, dtype=np.uint64)).view(np.int64))
-                signs.append((sign >> np.uint32(7)).astype(np.uint8).tobytes())
+                signs.append((sign * _SPREAD >> np.uint32(24)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
@@ -171,22 +174,19 @@ def _heads(crowds: DataFrame) -> DataFrame:
     )
 
 
-def _spokes(batches, cut: float, low: int, high: int):
-    """Rows (node, signature, root, heads of the crowd) to pairs with heads of rank ``low`` to ``high``."""
+def _spokes(batches, cut: float, most: int):
+    """Rows (node, signature, heads of the crowd) to pairs: each node with its ``most`` nearest heads."""
     for batch in batches:
         a, b = [], []
         held, last = None, None
-        for node, sign, root, heads in zip(*(c.to_pylist() for c in batch.columns)):
+        for node, sign, heads in zip(*(c.to_pylist() for c in batch.columns)):
             if heads != last:
                 last = heads
                 held = np.frombuffer(b"".join(h["signature"] for h in heads), np.uint8).reshape(-1, VALUES)
             agree = (held == np.frombuffer(sign, np.uint8)).sum(axis=1)
-            own = root or node
             best = [k for k in np.argsort(-agree, kind="stable").tolist() if heads[k]["node"] != node]
-            for k in best[low:high]:
-                if _fit(agree[k]) < cut:
-                    break
-                if (heads[k]["root"] or heads[k]["node"]) != own:
+            for k in best[:most]:
+                if _fit(agree[k]) >= cut:
                     a.append(min(node, heads[k]["node"]))
                     b.append(max(node, heads[k]["node"]))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -197,53 +197,107 @@ def _fit(agree):
     return (agree / VALUES - 1 / 256) / (1 - 1 / 256)
 
 
-def _likely(signs: np.ndarray, roots: np.ndarray | None, cut: float, low: int, high: int):
-    """Index pairs of a region: partners of rank ``low`` to ``high`` by agreement."""
-    n = len(signs)
-    out = set()
-    for at in range(0, n, 64):
-        part = signs[at : at + 64]
-        agree = np.stack([(signs == row).sum(axis=1) for row in part])
-        agree[np.arange(len(part)), np.arange(at, at + len(part))] = -1
-        fit = _fit(agree) >= cut
-        rank = np.argsort(np.argsort(-agree, axis=1, kind="stable"), axis=1, kind="stable")
-        fit &= (rank >= low) & (rank < high)
-        if roots is not None:
-            fit &= roots[at : at + 64, None] != roots[None, :]
-        for i, j in zip(*np.nonzero(fit)):
-            i = int(i) + at
-            out.add((min(i, int(j)), max(i, int(j))))
-    return out
-
-
-def _propose(batches, cut: float, low: int, high: int):
-    """Rows (region, node, signature, root), regions in one piece each, to pairs of nodes."""
+def _by_region(batches):
+    """Rows of each region together, where regions come in one piece each."""
     held: list[tuple] = []
-
-    def settle(rows):
-        if len(rows) < 2:
-            return []
-        rows = sorted({r[1]: r for r in rows}.values())
-        roots = np.array([r[3] or r[1] for r in rows], dtype="S16")
-        if (roots == roots[0]).all():
-            return []
-        signs = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), VALUES)
-        return [(rows[i][1], rows[j][1]) for i, j in _likely(signs, roots, cut, low, high)]
-
-    def shaped(pairs):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"]
-        )
-
     for batch in batches:
-        pairs = []
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if held and held[0][0] != row[0]:
-                pairs += settle(held)
+                yield held
                 held = []
             held.append(row)
-        yield shaped(pairs)
-    yield shaped(settle(held))
+    if held:
+        yield held
+
+
+def _distinct_nodes(rows: list[tuple]) -> list[tuple]:
+    return sorted({r[1]: r for r in rows}.values(), key=lambda r: r[1])
+
+
+def _agreements(rows: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row (region, node, signature, ...): how many values each other one shares with it."""
+    signs = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), VALUES)
+    for i, sign in enumerate(signs):
+        agree = (signs == sign).sum(axis=1)
+        agree[i] = -1
+        yield i, agree
+
+
+def _propose(batches, cut: float, most: int):
+    """Rows (region, node, signature) to pairs of nodes: each with its ``most`` best partners."""
+    for rows in _by_region(batches):
+        rows = _distinct_nodes(rows)
+        pairs = set()
+        for i, agree in _agreements(rows):
+            for j in np.argsort(-agree, kind="stable")[:most].tolist():
+                if _fit(agree[j]) >= cut:
+                    pairs.add((min(i, j), max(i, j)))
+        columns = [pa.array([rows[p[k]][1] for p in pairs], pa.binary()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+
+def _divided(batches, cut: float):
+    """Rows (region, node, signature, root) to (region, node, root) of nodes with a candidate elsewhere."""
+    for rows in _by_region(batches):
+        rows = _distinct_nodes(rows)
+        roots = np.array([r[3] or r[1] for r in rows], dtype="S16")
+        keep = []
+        if not (roots == roots[0]).all():
+            for i, agree in _agreements(rows):
+                if (_fit(agree)[roots != roots[i]] >= cut).any():
+                    keep.append(i)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([rows[i][0] for i in keep], pa.int64()),
+                pa.array([rows[i][1] for i in keep], pa.binary()),
+                pa.array([rows[i][3] or rows[i][1] for i in keep], pa.binary()),
+            ],
+            ["region", "node", "root"],
+        )
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of some sets share."""
+    members, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = times > 1  # what one set alone holds is common to no two
+    column = np.cumsum(shared) - 1
+    met = shared[which]
+    owner, column = owner[met], column[which[met]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sets), len(sets)))
+    for low in range(0, int(shared.sum()), 8192):
+        a, b = np.searchsorted(column, [low, low + 8192])
+        part = np.zeros((len(sets), 8192), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        total += part @ part.T
+    return total
+
+
+def _join_up(batches, percent: int):
+    """Rows (region, node, root, set) to links that join components, confirmed on the full sets."""
+    for rows in _by_region(batches):
+        rows = _distinct_nodes(rows)
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        both = _common(sets)
+        sizes = np.array([len(s) for s in sets], np.float64)
+        alike = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        parent = {r[2]: r[2] for r in rows}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        a, b = [], []
+        for i, j in zip(*np.nonzero(np.triu(alike, 1))):
+            one, other = find(rows[i][2]), find(rows[j][2])
+            if one != other:
+                parent[one] = other
+                a.append(rows[i][1])
+                b.append(rows[j][1])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
 def _confirm(batches, percent: int):
@@ -270,39 +324,39 @@ def _members(batches, width: int):
             ).filter(pa.array(keep, pa.bool_()))
 
 
-def _rooted(df: DataFrame, labels: DataFrame | None, node: str = "node") -> DataFrame:
-    """``df`` with the component's ``root`` of each node so far, null for one without links."""
-    if labels is None:
-        return df.withColumn("root", F.lit(None).cast("binary"))
-    return df.join(labels.withColumnRenamed("node", node), node, "left")
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("region").sortWithinPartitions("region")
 
 
-def _from_regions(regions, labels, cut: float, low: int, high: int) -> DataFrame:
-    rows = _rooted(regions, labels)
-    return (
-        rows.select("region", "node", "signature", "root")
-        .repartition("region")
-        .sortWithinPartitions("region")
-        .mapInArrow(lambda batches: _propose(batches, cut, low, high), "a binary, b binary")
+def _nearest(regions: DataFrame, crowds: DataFrame, heads: DataFrame | None, cut: float) -> DataFrame:
+    """The first candidates: every node's best partners in its regions, and best heads in its crowds."""
+    pairs = _together(regions.select("region", "node", "signature")).mapInArrow(
+        lambda batches: _propose(batches, cut, BEST), "a binary, b binary"
     )
+    if heads is not None:
+        led = heads.groupBy("region").agg(
+            F.collect_list(F.struct(F.col("head").alias("node"), F.col("head_signature").alias("signature")))
+            .alias("heads")
+        )
+        pairs = pairs.union(
+            crowds.join(scratch.table(led, "led"), "region")
+            .select("node", "signature", "heads")
+            .mapInArrow(lambda batches: _spokes(batches, cut, BEST), "a binary, b binary")
+        )
+    return pairs.distinct()
 
 
-def _from_crowds(crowds, heads, labels, cut: float, low: int, high: int) -> DataFrame:
-    led = (
-        _rooted(heads, labels, "head")
-        .groupBy("region")
-        .agg(
-            F.collect_list(
-                F.struct(F.col("head").alias("node"), F.col("head_signature").alias("signature"), "root")
-            ).alias("heads")
-        )
-    )
-    return (
-        _rooted(crowds, labels)
-        .join(scratch.table(led, "led"), "region")
-        .select("node", "signature", "root", "heads")
-        .mapInArrow(lambda batches: _spokes(batches, cut, low, high), "a binary, b binary")
+def _remaining(regions: DataFrame, labels: DataFrame | None, sets: DataFrame, cut: float, percent: int) -> DataFrame:
+    """Links that the first candidates left out: all candidates between different components."""
+    if labels is None:
+        rooted = regions.withColumn("root", F.lit(None).cast("binary"))
+    else:
+        rooted = regions.join(labels, "node", "left")
+    divided = _together(rooted.select("region", "node", "signature", "root")).mapInArrow(
+        lambda batches: _divided(batches, cut), "region bigint, node binary, root binary"
     )
+    filled = scratch.table(divided, "divided").join(sets, "node").select("region", "node", "root", "members")
+    return _together(filled).mapInArrow(lambda batches: _join_up(batches, percent), "a binary, b binary")
 
 
 def near_duplicates(
@@ -352,23 +406,20 @@ def near_duplicates(
         "sets",
     )
     cut = percent / 100 - MARGIN
-    links, labels = None, None
-    for low, high in zip(RANKS, RANKS[1:]):
-        proposed = _from_regions(regions, labels, cut, low, high)
-        if crowded:
-            proposed = proposed.union(_from_crowds(crowds, heads, labels, cut, low, high))
-        pairs = scratch.table(proposed.distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        confirmed = scratch.table(
-            pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("one")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("members").alias("other")), "b")
-            .select("a", "b", "one", "other")
-            .mapInArrow(lambda batches: _confirm(batches, percent), "a binary, b binary"),
-            "links",
-        )
-        links = confirmed if links is None else links.union(confirmed)
-        labels = components(links)
+    pairs = _nearest(regions, crowds, heads, cut)
+    found = scratch.table(
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("one")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("members").alias("other")), "b")
+        .select("a", "b", "one", "other")
+        .mapInArrow(lambda batches: _confirm(batches, percent), "a binary, b binary"),
+        "links",
+    )
+    labels = None if found.isEmpty() else components(found)
+    more = scratch.table(_remaining(regions, labels, sets, cut, percent), "links")
+    if not more.isEmpty():
+        if labels is not None:  # what is known already: a link from each node to its root
+            more = more.union(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        labels = components(more)
     placed = rows.select("id", "version", F.col("n").alias("n_shingles"), "node")
     placed = (
         placed.withColumn("root", F.col("node"))

@@ -96,7 +96,6 @@ def test_agrees_with_brute_force_on_the_given_table(spark):
 def test_crowded_regions_lose_nothing(spark, monkeypatch):
     """One group of near copies far above the size of a region, with few partners a round."""
     monkeypatch.setattr(near_dedup, "REGION", 24)
-    monkeypatch.setattr(near_dedup, "RANKS", (0, 2, 24))
     rng = random.Random(2)
     base = words(rng, 150)
     texts = [" ".join(base)] + family(rng, base, 120, 2) + [" ".join(words(rng, 80)) for _ in range(40)]
