@@ -207,18 +207,15 @@ def overlapping_versions(
     """
     start = F.unix_micros("valid_from")
     end = F.coalesce(F.unix_micros("valid_to"), F.lit(253402300799999999))
-    spans = devices.select(device, start.alias("s"), end.alias("e"))
-    # Closings sort before openings of the same instant: [a, b) and [b, c) do not overlap.
+    spans = devices.select(
+        device, start.alias("s"), end.alias("e"), F.col("valid_to").isNotNull().alias("closes")
+    )
+    # Closings sort before openings of the same instant: [a, b) and [b, c) do not overlap. An open
+    # window never closes, so no closing of it has to be counted.
+    closing = F.when(F.col("closes"), F.struct(F.col("e").alias("at"), F.lit(0).alias("opens")))
+    opening = F.struct(F.col("s").alias("at"), F.lit(1).alias("opens"))
     marks = spans.select(
-        device,
-        "s",
-        "e",
-        F.explode(
-            F.array(
-                F.struct(F.col("e").alias("at"), F.lit(0).alias("opens")),
-                F.struct(F.col("s").alias("at"), F.lit(1).alias("opens")),
-            )
-        ).alias("m"),
+        device, "s", "e", F.explode(F.array_compact(F.array(closing, opening))).alias("m")
     ).select(device, "s", "e", F.col("m.at").alias("at"), F.col("m.opens").alias("opens"))
     counted = running_count(
         marks,
