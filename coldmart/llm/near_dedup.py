@@ -8,15 +8,18 @@
    its nodes are compared with its heads, the nodes most like all others: copies of one text that
    are less like each other than like the text would else part from it at greater depth.
 3. In each region, pairs whose signatures agree about as often as the threshold asks are
-   candidates, and in each crowd those with a head. First each node proposes its few best partners,
-   pairs are confirmed on full sets, and links make components. Then, where a region has
-   candidates between different components, the sets of those nodes come to the region and all of
-   them are compared there; only links that join components leave it. So every candidate is
-   tested or needless, as a pair inside one component cannot change the result.
+   candidates. First each node proposes its few best partners, in a crowd its best heads, pairs are
+   confirmed on full sets, and links make components. Then, where a region has candidates between
+   different components, the sets of those nodes come to the region and all of them are compared
+   there; only links that join components leave it. So do crowds, in pieces: the nodes outside a
+   crowd's largest component, in blocks, meet every block of it. So every candidate is tested or
+   needless, as a pair inside one component cannot change the result.
 4. A document's component is the smallest id that its node's component holds.
 
 Hot groups: copies collapse before anything is compared, buckets are counted before a shuffle,
-and a region is at most ``REGION`` rows. Signatures, buckets, pairs and labels stay in tables;
+a region is at most ``REGION`` rows and a piece of a crowd about twice as many. A crowd's pieces are
+as many as its size times its nodes outside its largest component ask: few where it is copies of
+one text, a square where its nodes are alike but no links join them. Signatures, buckets, pairs and labels stay in tables;
 nothing of them comes to the driver.
 
 Defined cases: null texts and texts without words have no shingles and link with nothing; a text
@@ -101,9 +104,10 @@ def _profile(batches, width: int):
 
 
 def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Regions and crowds, both as ``region, node, signature``.
+    """Regions and crowds, both as ``region, node, signature, level``.
 
-    Regions hold at most ``REGION`` nodes. A crowd is what a region was before it was divided.
+    Regions hold at most ``REGION`` nodes. A crowd is what a region was before it was divided; those
+    of level 0 hold all that the deeper regions and crowds hold.
     """
     rows = nodes.select("node", "signature", F.posexplode("bands").alias("tree", "band"))
     small, large = [], []
@@ -120,12 +124,13 @@ def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         if level == 0:
             met = met.join(nodes.select("node", "signature"), "node")
         met = scratch.table(met, f"regions-{depth}")
-        small.append(met.filter(F.col("rows") <= REGION).select("region", "node", "signature"))
+        met = met.withColumn("level", F.lit(level))
+        small.append(met.filter(F.col("rows") <= REGION).select("region", "node", "signature", "level"))
         crowd = met.filter(F.col("rows") > REGION)
         if crowd.isEmpty():
             break
-        large.append(crowd.select("region", "node", "signature"))
-        rows = crowd.drop("region", "rows")
+        large.append(crowd.select("region", "node", "signature", "level"))
+        rows = crowd.drop("region", "rows", "level")
     none = small[0].limit(0)
     return reduce(DataFrame.union, small), reduce(DataFrame.union, large, none)
 
@@ -346,13 +351,52 @@ def _nearest(regions: DataFrame, crowds: DataFrame, heads: DataFrame | None, cut
     return pairs.distinct()
 
 
-def _remaining(regions: DataFrame, labels: DataFrame | None, sets: DataFrame, cut: float, percent: int) -> DataFrame:
+def _blocks(crowds: DataFrame) -> DataFrame:
+    """Crowds (region, node, signature, root) in pieces, so that any two nodes of a crowd with
+    different roots meet in one of them.
+
+    Of two such nodes one at least is not in the crowd's largest component. So the nodes outside it
+    meet all nodes, each side in blocks of about ``REGION``; a crowd that is one component has no pieces.
+    """
+    parts = crowds.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"))
+    shapes = scratch.table(
+        parts.groupBy("region")
+        .agg(F.sum("n").alias("whole"), F.max(F.struct("n", "root")).alias("most"))
+        .filter("whole > most.n")
+        .select(
+            "region",
+            F.col("most.root").alias("largest"),
+            F.ceil(F.col("whole") / REGION).alias("across"),
+            F.ceil((F.col("whole") - F.col("most.n")) / REGION).alias("down"),
+        ),
+        "shapes",
+    )
+    own = F.xxhash64("node", F.lit(1))
+    row, column = F.pmod(own, F.col("down")), F.pmod(own, F.col("across"))
+    met = crowds.join(shapes, "region")
+    every = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: F.struct(i.alias("i"), column.alias("j")))
+    other = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda j: F.struct(row.alias("i"), j.alias("j")))
+    places = F.when(F.col("root") == F.col("largest"), every).otherwise(F.array_union(every, other))
+    return met.withColumn("place", F.explode(places)).select(
+        F.xxhash64("region", "place.i", "place.j").alias("region"), "node", "signature", "root"
+    )
+
+
+def _remaining(
+    regions: DataFrame, crowds: DataFrame, labels: DataFrame | None, sets: DataFrame, cut: float, percent: int
+) -> DataFrame:
     """Links that the first candidates left out: all candidates between different components."""
-    if labels is None:
-        rooted = regions.withColumn("root", F.lit(None).cast("binary"))
-    else:
-        rooted = regions.join(labels, "node", "left")
-    divided = _together(rooted.select("region", "node", "signature", "root")).mapInArrow(
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        rows = rows.filter("level = 0").select("region", "node", "signature")
+        if labels is None:
+            return rows.withColumn("root", F.col("node"))
+        return rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    pieces = rooted(regions).select("region", "node", "signature", "root")
+    if not crowds.isEmpty():
+        pieces = pieces.union(_blocks(scratch.table(rooted(crowds), "crowds")))
+    divided = _together(pieces).mapInArrow(
         lambda batches: _divided(batches, cut), "region bigint, node binary, root binary"
     )
     filled = scratch.table(divided, "divided").join(sets, "node").select("region", "node", "root", "members")
@@ -415,7 +459,7 @@ def near_duplicates(
         "links",
     )
     labels = None if found.isEmpty() else components(found)
-    more = scratch.table(_remaining(regions, labels, sets, cut, percent), "links")
+    more = scratch.table(_remaining(regions, crowds, labels, sets, cut, percent), "links")
     if not more.isEmpty():
         if labels is not None:  # what is known already: a link from each node to its root
             more = more.union(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -106,6 +106,26 @@ def test_crowded_regions_lose_nothing(spark, monkeypatch):
     assert found(near_dedup.near_duplicates(spark.createDataFrame(rows, DOC))) == plain(rows)
 
 
+def test_crowds_of_several_groups_and_a_chain_lose_nothing(spark, monkeypatch):
+    """Crowds that no prefix divides, and no first candidates: these save work, the rest finds all links."""
+    monkeypatch.setattr(near_dedup, "DEPTHS", near_dedup.DEPTHS[:1])
+    monkeypatch.setattr(near_dedup, "REGION", 6)
+    monkeypatch.setattr(near_dedup, "BEST", 0)
+    rng = random.Random(7)
+    base = words(rng, 300)
+    texts = []
+    for k in range(2):
+        texts += family(rng, [*base[:250], *words(rng, 30 + k)], 10, 2)
+    link = list(base)
+    for k in range(20):
+        link[8 * k : 8 * k + 4] = words(rng, 4)
+        texts.append(" ".join(link))
+    rows = list(enumerate(texts))
+    want = plain(rows)
+    assert 1 < len({c for _, _, c in want}) < len(rows) / 4
+    assert found(near_dedup.near_duplicates(spark.createDataFrame(rows, DOC))) == want
+
+
 @pytest.mark.parametrize("shape", ["chain", "star", "none"])
 def test_components(spark, shape):
     links = {"chain": [(k, k + 1) for k in range(40)], "star": [(0, k) for k in range(1, 90)] + [(100, 101)], "none": []}
