@@ -7,9 +7,11 @@ with a fixed penalty for each change of language then labels spans; a text whose
 provably never changes is answered without walking it. The text's language is the one with most
 letters, and its score the share of letters on that language's spans.
 
-The model is fitted by Spark on at most about ``TRAIN_DOCS`` labelled documents, chosen by hash
-(a documented bound: the model is ``BUCKETS`` numbers a language, which more text hardly
-changes). Trigram and script counts are summed before they reach the driver. Prediction uses the
+The model is fitted by Spark on at most about ``TRAIN_DOCS`` labelled documents (a documented
+bound: the model is ``BUCKETS`` numbers a language, which more text hardly changes). They are dealt
+out by label: a label is taken whole up to its share and by a rate of its own beyond, so a rare
+language is learned whatever the size of the others. Which documents of a label, a hash of id and
+text says, so copies of one text do not share one fate; a document delivered twice counts once. Trigram and script counts are summed before they reach the driver. Prediction uses the
 text alone, all of it.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0; a text of which no
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from coldmart.llm.hashing import batches_of
 
 TRAIN_DOCS = 20_000
+LEAST_DOCS = 100  # the share of a label, however many labels there are
 BUCKETS = 1 << 18
 PENALTY = 12.0  # in nats, for each change of language
 WORST = 8.0  # how much one word can speak against a language
@@ -50,6 +53,8 @@ SCRIPTS = [
 ]
 N_SCRIPTS = 25
 
+_FINE = 10**12  # steps of a rate
+
 _tables: list[np.ndarray] = []
 
 
@@ -103,6 +108,38 @@ class Words:
         return np.diff(np.append(self.starts, len(self.buckets)))
 
 
+def _share(counts: list[int], most: int) -> float:
+    """The level to which counts must be cut so that they sum up to ``most``."""
+    left = float(most)
+    for k, n in enumerate(sorted(counts)):
+        level = left / (len(counts) - k)
+        if n > level:
+            return level
+        left -= n
+    return float(max(counts, default=0))
+
+
+def training_rows(
+    docs: DataFrame, label: str, text: str, most: int = TRAIN_DOCS, doc_id: str = "doc_id"
+) -> tuple[DataFrame, dict[str, float]]:
+    """``label, text`` of the documents to learn from, and the rate at which each label is taken."""
+    labelled = docs.filter(F.col(label).isNotNull()).select(
+        F.col(label).cast("string").alias("label"),
+        F.col(text).alias("text"),
+        F.xxhash64(F.col(doc_id), F.col(text)).alias("chance"),
+    )
+    counted = labelled.select("label", "chance").distinct().groupBy("label").count()
+    counts = {r["label"]: r["count"] for r in counted.collect()}  # a row a language, as the model has
+    share = max(_share(list(counts.values()), most), LEAST_DOCS)
+    rates = {name: min(1.0, share / n) for name, n in counts.items()}
+    if any(rate < 1 for rate in rates.values()):
+        parts = labelled.sparkSession.createDataFrame(
+            [(name, int(_FINE * rate)) for name, rate in rates.items()], "label string, part bigint"
+        )
+        labelled = labelled.join(parts, "label").filter(F.pmod("chance", F.lit(_FINE)) < F.col("part"))
+    return labelled.dropDuplicates(["label", "chance"]).select("label", "text"), rates
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -111,15 +148,9 @@ class Model:
     usual: int  # the most frequent language
 
     @staticmethod
-    def fit(docs: DataFrame, label: str, text: str, most: int = TRAIN_DOCS) -> Model:
-        """Fit on rows with a label; about ``most`` of them if there are more."""
-        labelled = docs.filter(F.col(label).isNotNull()).select(
-            F.col(label).cast("string").alias("label"), F.col(text).alias("text")
-        )
-        n = labelled.count()
-        if n > most:
-            part = int(1_000_000 * most / n)
-            labelled = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < part)
+    def fit(docs: DataFrame, label: str, text: str, most: int = TRAIN_DOCS, doc_id: str = "doc_id") -> Model:
+        """Fit on rows with a label; about ``most`` of them if there are more, dealt out by label."""
+        labelled, rates = training_rows(docs, label, text, most, doc_id)
 
         def count(batches) -> Iterator[pa.RecordBatch]:
             total: dict[str, np.ndarray] = {}
@@ -154,7 +185,8 @@ class Model:
         smoothed = letters + 0.05
         table = np.log(smoothed / smoothed.sum(axis=0)) if languages else smoothed
         used = scripts / np.maximum(scripts.sum(axis=0), 1)
-        usual = int(letters.sum(axis=0).argmax()) if languages else 0
+        weights = np.array([rates[name] for name in languages])  # letters of all documents, not of those taken
+        usual = int((letters.sum(axis=0) / weights).argmax()) if languages else 0
         return Model(languages, table.astype(np.float32), used >= RARE_SCRIPT, usual)
 
     def evidence(self, words: Words) -> np.ndarray:
@@ -194,22 +226,25 @@ def path(evidence: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     return out
 
 
-def label_texts(model: Model, texts: list[str | None]) -> Iterator[tuple[str, float, list[dict]]]:
-    """Language, score and spans (first word, words, language) of each text."""
+def label_texts(model: Model, texts: list[str | None]) -> Iterator[tuple[str, float, list[dict], float]]:
+    """Language, score, spans (first word, words, language) and unlearned share of each text.
+
+    The last is the share of its letters in words whose script no learned language uses.
+    """
     words = Words.of(texts)
     if not len(words.starts) or not model.languages:
-        yield from ((UNKNOWN, 0.0, []) for _ in texts)
+        yield from ((UNKNOWN, 0.0, [], float(a < b)) for a, b in zip(words.texts[:-1], words.texts[1:]))
         return
     evidence, letters = model.evidence(words), words.letters()
     known = model.uses[words.scripts].any(axis=1)
     for a, b in zip(words.texts[:-1], words.texts[1:]):
         if a == b:
-            yield UNKNOWN, 0.0, []
+            yield UNKNOWN, 0.0, [], 0.0
             continue
         along = path(evidence[a:b])
         weight = np.bincount(along, letters[a:b] * known[a:b], len(model.languages))
         if not weight.any():
-            yield model.languages[model.usual], 0.0, []
+            yield model.languages[model.usual], 0.0, [], 1.0
             continue
         top = int(weight.argmax())
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(along)) + 1, [b - a]])
@@ -217,11 +252,13 @@ def label_texts(model: Model, texts: list[str | None]) -> Iterator[tuple[str, fl
             {"word": int(i), "words": int(j - i), "lang": model.languages[along[i]]}
             for i, j in zip(cuts[:-1], cuts[1:])
         ]
-        yield model.languages[top], float(weight[top] / letters[a:b].sum()), spans
+        total = letters[a:b].sum()
+        unlearned = float((letters[a:b] * ~known[a:b]).sum() / total)
+        yield model.languages[top], float(weight[top] / total), spans, unlearned
 
 
 def identify(docs: DataFrame, model: Model, key: Column, text: str = "text") -> DataFrame:
-    """``key, lang_pred, score, spans`` for every row; ``key`` is any column that tells rows apart."""
+    """``key, lang_pred, score, spans, unlearned`` for every row; ``key`` is any column that tells rows apart."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # a megabyte a language, whatever the input
 
@@ -234,8 +271,9 @@ def identify(docs: DataFrame, model: Model, key: Column, text: str = "text") ->
                     [
                         batch.column(0), pa.array([f[0] for f in found], pa.string()),
                         pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], kind),
+                        pa.array([f[3] for f in found], pa.float64()),
                     ],
-                    ["key", "lang_pred", "score", "spans"],
+                    ["key", "lang_pred", "score", "spans", "unlearned"],
                 )
 
     keyed = docs.select(key.alias("key"), F.col(text).alias("text"))
@@ -243,5 +281,5 @@ def identify(docs: DataFrame, model: Model, key: Column, text: str = "text") ->
     return keyed.mapInArrow(
         label,
         f"key {kind}, lang_pred string, score double,"
-        " spans array<struct<word: bigint, words: bigint, lang: string>>",
+        " spans array<struct<word: bigint, words: bigint, lang: string>>, unlearned double",
     )

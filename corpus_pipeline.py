@@ -24,13 +24,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in some language, with the language that the text shows.
 
     The model is fitted on the labels of the stage's own input. Texts without a letter, and those
-    of which no language has a third, are rejected.
+    of which no language has a third, are rejected. Letters whose script no learned language uses
+    count as one language, ``und``: the model cannot speak against them.
     """
     model = language.Model.fit(docs, "lang", "text")
     found = language.identify(docs, model, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    kept = found.filter(F.greatest("score", "unlearned") >= LEAST_SCORE)
+    shown = F.when(F.col("unlearned") > F.col("score"), language.UNKNOWN).otherwise(F.col("lang_pred"))
     return kept.select(
-        *[(F.col("lang_pred") if c == "lang" else F.col(f"key.`{c}`")).alias(c) for c in docs.columns]
+        *[(shown if c == "lang" else F.col(f"key.`{c}`")).alias(c) for c in docs.columns]
     )
 
 

@@ -186,6 +186,30 @@ def test_scripts_narrow_the_candidates(spark):
     assert [r.lang_pred for r in found.orderBy("key").collect()] == ["ru", "en"]
 
 
+def test_rare_labels_are_learned_and_copies_do_not_share_one_fate(spark):
+    english = [f"these are some plain english words number {'abcdefghij'[k % 10]}" for k in range(3000)]
+    texts = ["one text that was copied"] * 900 + english + ["ქართული ენა სიტყვები"] * 4
+    rows = [(k, t, "ka" if k >= 3900 else "en") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    model = language.Model.fit(docs, "lang", "text", most=300)
+    assert model.languages == ["en", "ka"] and model.languages[model.usual] == "en"
+    found = language.identify(docs.filter("doc_id >= 3900"), model, F.col("doc_id")).collect()
+    assert [(r.lang_pred, r.score, r.unlearned) for r in found] == [("ka", 1.0, 0.0)] * 4
+    taken, rates = language.training_rows(docs.union(docs), "lang", "text", most=300)
+    assert rates["ka"] == 1 and rates["en"] == 296 / 3900
+    copies = taken.filter("text LIKE 'one text%'").count()
+    assert 20 < copies < 140 and 200 < taken.count() < 400
+
+
+def test_the_pipeline_keeps_scripts_that_nothing_was_learned_of(spark):
+    import corpus_pipeline
+
+    texts = ["some english words", "ქართული ენა სიტყვები", "12 34", None]
+    docs = docs_of(spark, texts, lang=["en", None, "en", None])
+    kept = corpus_pipeline.language_id(spark, docs, "").orderBy("doc_id").collect()
+    assert [(r.doc_id, r.lang) for r in kept] == [(0, "en"), (1, "und")]
+
+
 # ----------------------------------------------------------------- chat formatting
 
 
