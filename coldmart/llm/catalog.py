@@ -77,7 +77,8 @@ def op4_nearest(spark, sf_dir):
 
 @query
 def op5_line_dedup(spark, sf_dir):
-    out = line_dedup.drop_common_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_length=1)
+    docs = _table(spark, sf_dir, "documents")
+    out = line_dedup.drop_common_lines(docs, min_docs=10, min_length=1, distinct_ids=True)
     return out.select(
         "row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256")
     )

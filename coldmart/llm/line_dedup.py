@@ -9,8 +9,9 @@ A line in a third of all documents is harmless: its counts are summed before the
 the join with the common hashes is a plain join whose large partitions Spark splits.
 
 Defined cases: a null text is one empty line; empty keys (shorter than ``min_length``) are never
-common; every row counts as a document, equal rows included; a text that loses all its lines
-becomes empty.
+common; a text that loses all its lines becomes empty. A document counts once however often its
+rows were delivered (a row without an id by its text), if ``distinct_ids`` asks for it, as the
+registered query and the pipeline do; otherwise every row counts as a document.
 """
 
 from __future__ import annotations
@@ -44,7 +45,12 @@ def _without(lines: Column, gone: Column) -> Column:
 
 
 def drop_common_lines(
-    docs: DataFrame, min_docs: int = 10, min_length: int = 1, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    min_docs: int = 10,
+    min_length: int = 1,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    distinct_ids: bool = False,
 ) -> DataFrame:
     """All columns of ``docs`` in ``row``, with ``kept_text``, ``n_lines`` and ``n_dropped``."""
     whole = docs.select(
@@ -63,11 +69,17 @@ def drop_common_lines(
         ),
         "line-keys",
     )
+    counted = hashed.select("id", "version", F.explode(F.array_distinct("keys")).alias("key")).filter(
+        "key IS NOT NULL"
+    )
+    counted = counted.select(
+        "key.a", "key.b", "id", F.when(F.col("id").isNull(), F.col("version")).alias("nameless")
+    )
+    if distinct_ids:  # repeated rows are reduced before the shuffle, which is by line and document
+        counted = counted.distinct()
     # A table, so that the join below is a plain one whose large partitions Spark splits.
     common = scratch.table(
-        hashed.select(F.explode(F.array_distinct("keys")).alias("key"))
-        .filter("key IS NOT NULL")
-        .groupBy("key.a", "key.b")
+        counted.groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_docs)
         .select("a", "b"),

@@ -38,7 +38,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that ten documents or more share."""
-    found = line_dedup.drop_common_lines(docs, min_docs=10, min_length=1)
+    found = line_dedup.drop_common_lines(docs, min_docs=10, min_length=1, distinct_ids=True)
     changed = F.col("n_dropped") > 0
     new = {
         "text": F.when(changed, F.col("kept_text")).otherwise(F.col("row.text")),

@@ -77,6 +77,18 @@ def test_line_dedup_of_equal_rows_and_of_nothing(spark):
     assert line_dedup.drop_common_lines(one.limit(0)).count() == 0
 
 
+def test_line_dedup_counts_a_document_delivered_often_once(spark):
+    import corpus_pipeline
+
+    often = docs_of(spark, ["a\nb"] * 12).withColumn("doc_id", F.lit(1).cast("bigint"))
+    shared = docs_of(spark, [f"common\nown {k}" for k in range(10)]).withColumn("doc_id", F.col("doc_id") + 2)
+    nameless = docs_of(spark, [f"said\nby {k}" for k in range(10)]).withColumn("doc_id", F.lit(None).cast("bigint"))
+    out = corpus_pipeline.line_dedup_stage(spark, often.union(shared).union(nameless), "")
+    kept = [r.text for r in out.collect()]
+    want = ["a\nb"] * 12 + [f"own {k}" for k in range(10)] + [f"by {k}" for k in range(10)]
+    assert sorted(kept) == sorted(want)
+
+
 # -------------------------------------------------------------------- license scan
 
 
