@@ -17,6 +17,7 @@ from coldmart.llm import (
     mixing,
     near_dedup,
     packing,
+    pieces,
     rotated_codes,
     url_filter,
 )
@@ -125,3 +126,10 @@ def op9_license_scan(spark, sf_dir):
 def op10_mixing(spark, sf_dir):
     out = mixing.shares(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query
+def op13_pieces(spark, sf_dir):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    wanted = ["n_tokens", "ids_sha256", "decoded_sha256", "agrees"]
+    return pieces.encode_documents(_table(spark, sf_dir, "documents"), path, "doc_id", outputs=wanted)
