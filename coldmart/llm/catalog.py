@@ -14,11 +14,13 @@ from coldmart.llm import (
     language,
     licenses,
     line_dedup,
+    merkle,
     mixing,
     near_dedup,
     packing,
     pieces,
     rotated_codes,
+    text,
     url_filter,
 )
 from coldmart.session import tune
@@ -128,6 +130,20 @@ def op10_mixing(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+@query
+def op11_merkle(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    leaf = merkle.digest(fields)
+    lowered = merkle.digest([*fields[:-1], text.ascii_lower(fields[-1])])
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaves = docs.select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("tree"), leaf.alias("leaf"),
+        F.when(tampered, lowered).otherwise(leaf).alias("claimed"),
+    )
+    return merkle.prove(leaves).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op13_pieces(spark, sf_dir):
     path = public_tokenizers.path("piece_bpe_32k.model")

