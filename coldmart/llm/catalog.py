@@ -12,6 +12,7 @@ from coldmart.llm import (
     chat,
     exact_topk,
     language,
+    lexical,
     licenses,
     line_dedup,
     merkle,
@@ -149,3 +150,8 @@ def op13_pieces(spark, sf_dir):
     path = public_tokenizers.path("piece_bpe_32k.model")
     wanted = ["n_tokens", "ids_sha256", "decoded_sha256", "agrees"]
     return pieces.encode_documents(_table(spark, sf_dir, "documents"), path, "doc_id", outputs=wanted)
+
+
+@query
+def op12_lexical(spark, sf_dir):
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)

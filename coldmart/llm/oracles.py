@@ -183,6 +183,37 @@ FROM texts LEFT JOIN based USING (doc_id) LEFT JOIN joined USING (doc_id)
 """
 
 
+def _terms(text: str) -> str:
+    return f"regexp_extract_all({_lowered(text)}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+LEXICAL = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS place, doc_id, {_terms('text')} AS t FROM documents WHERE text IS NOT NULL
+), whole AS (
+  SELECT count(*) AS n, sum(len(t))::BIGINT AS l FROM texts WHERE len(t) > 0
+), asked AS (
+  SELECT DISTINCT item_id, unnest({_terms('text')}) AS term FROM benchmark WHERE text IS NOT NULL
+), counted AS (
+  SELECT place, doc_id, len(t) AS n, term, count(*) AS tf
+  FROM texts, unnest(t) AS u(term) WHERE term IN (SELECT term FROM asked) GROUP BY place, doc_id, len(t), term
+), weighed AS (
+  SELECT term, floor(1000 * ln((2 * any_value(w.n) + 2) / (2 * count(*) + 1)))::BIGINT AS weight
+  FROM counted, whole w GROUP BY term
+), impacts AS (
+  SELECT place, doc_id, term,
+         weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * c.n * w.n) // w.l))) AS impact
+  FROM counted c JOIN weighed USING (term), whole w
+), scored AS (
+  SELECT item_id, place, doc_id, sum(impact)::BIGINT AS score
+  FROM asked JOIN impacts USING (term) GROUP BY item_id, place, doc_id HAVING sum(impact) > 0
+)
+SELECT item_id, (row_number() OVER best)::INTEGER AS rank, doc_id, score FROM scored
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)
+QUALIFY row_number() OVER best <= 50
+"""
+
+
 def _leaf(text: str) -> str:
     fields = [f"{c}::VARCHAR" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
     return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
@@ -264,4 +295,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_license_scan": _licenses(),
         "op10_mixing": MIXING,
         "op11_merkle": MERKLE,
+        "op12_lexical": LEXICAL,
     }
