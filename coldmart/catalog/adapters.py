@@ -10,9 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldmart.functions.rows import computed
-from coldmart.functions.wire import FRAME_HEADER, FRAME_OVERHEAD, byte_count, xor_checksum
-
 # Fixed values of the adapter: constants for what the events table cannot supply.
 MODEL = "everfrost"
 BOOT_MICROS = 432_000_000_000
@@ -188,88 +185,6 @@ def link_states(base: DataFrame) -> DataFrame:
     )
 
 
-def _byte(number: str) -> str:
-    return f"lpad(hex(pmod({number}, 256)), 2, '0')"
-
-
-def _word(number: str) -> str:
-    return f"concat({_byte(number)}, {_byte(f'({number}) div 256')})"
-
-
-def messages(base: DataFrame) -> DataFrame:
-    """Every report as the bytes a device would send, some of them damaged.
-
-    The body is a state report in the wire format; a quarter displays °F. Bodies are cut
-    short (13th), carry an unknown battery state (17th) or lack the display unit (19th).
-    Every third message is split in two fragments. Frames have a wrong checksum (23rd) or
-    length (37th), fragments come in the wrong order (29th) or stop after one (31st).
-    """
-    shown = "case when event_id % 4 = 0 then cast(bround({0} * 9.0D / 5.0D + 32) as bigint) else {0} end"
-    pack = "case when battery_serial_number is null then repeat('00', 17) else hex(battery_serial_number) end"
-    state = (
-        "case when event_id % 17 = 0 then 9 when battery_state = 'idle' then 0 "
-        "when battery_state = 'charging' then 1 when battery_state = 'discharging' then 2 "
-        "when battery_state = 'full' then 3 else 4 end"
-    )
-    unit = "case when event_id % 4 = 0 then '01' else '00' end"
-    body = (
-        "concat('A10131', 'A2', " + _byte("length(serial_number) + 1") + ", '00', hex(serial_number), "
-        "'A60201', " + _byte(shown.format("setpoint_celsius")) + ", "
-        "'A70201', " + _byte(shown.format("interior_temperature_celsius")) + ", "
-        "'AD020101', 'AF020101', "
-        "case when event_id % 19 = 0 then '' else concat('B00201', " + unit + ") end, "
-        "'B10302', " + _word("input_watts") + ", "
-        "'D024061011', " + pack + ", '00000000', '0000', '0000', '0000', "
-        + _byte(state) + ", " + _byte("state_of_charge_percent") + ", "
-        + _word("charge_watts") + ", " + _word("discharge_watts") + ")"
-    )
-    numbered = reports(base).withColumn(
-        "battery_serial_number",
-        F.when(
-            F.col("battery_serial_number").isNotNull(),
-            F.concat(
-                F.lit("BATTERY-"), F.lpad(F.substring_index("battery_serial_number", "-", -1), 9, "0")
-            ),
-        ),
-    )
-    bodies = computed(numbered, whole=F.expr(body)).withColumn(
-        "plain",
-        F.when(
-            F.col("event_id") % 13 == 0, F.expr("substring(whole, 1, length(whole) - 6)")
-        ).otherwise(F.col("whole")),
-    )
-    split = F.expr(
-        "case when event_id % 3 <> 0 then array(whole) "
-        "when event_id % 31 = 0 then array(concat('12', substring(whole, 1, 100))) "
-        "when event_id % 29 = 0 then array(concat('22', substring(whole, 101)), "
-        "concat('12', substring(whole, 1, 100))) "
-        "else array(concat('12', substring(whole, 1, 100)), concat('22', substring(whole, 101))) end"
-    )
-    heads = computed(bodies, _heads=F.transform(split, lambda p: _head(p, F.col("event_id"))))
-    framed = heads.withColumn(
-        "frames", F.transform("_heads", lambda h: _checked(h, F.col("event_id")))
-    ).drop("_heads")
-    return framed.withColumn("cmd", F.lit("4402")).drop("whole")
-
-
-def _head(payload, event_id):
-    """A frame up to its checksum."""
-    size = byte_count(payload) + FRAME_OVERHEAD + F.when(event_id % 37 == 0, 1).otherwise(0)
-    low, high = size % 256, F.call_function("div", size, F.lit(256))
-    return F.concat(
-        F.lit(FRAME_HEADER),
-        F.lpad(F.hex(low.cast("bigint")), 2, "0"),
-        F.lpad(F.hex(high.cast("bigint")), 2, "0"),
-        F.lit("03010F4402"),
-        payload,
-    )
-
-
-def _checked(head, event_id):
-    check = xor_checksum(head).bitwiseXOR(F.when(event_id % 23 == 0, 1).otherwise(0))
-    return F.concat(head, F.lpad(F.hex(check.cast("bigint")), 2, "0"))
-
-
 def envelopes(base: DataFrame) -> DataFrame:
     """Gateway events: numbered messages with payloads, a few undescribed, and losses."""
     return reports(base).selectExpr(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldmart.catalog import adapters as A
+from coldmart.catalog.messages import messages
 from coldmart.catalog.star import star
 from coldmart.functions import iso_week_key
 from coldmart.operators import folding
@@ -752,7 +753,7 @@ def readable_lines(spark, sf):
 
 @query
 def payload_backfill(spark, sf):
-    raw = A.messages(A.events(spark, sf)).select(
+    raw = messages(spark, sf).select(
         "event_id", "cmd", "plain", F.lit(None).cast("struct<x:int>").alias("payload")
     )
     out = backfill_payload(raw.drop("payload").withColumn("payload", _no_payload()))
@@ -767,18 +768,13 @@ def _no_payload():
 
 @query
 def tlv_explode(spark, sf):
-    raw = A.messages(A.events(spark, sf)).select("event_id", "plain", "frames")
-    out = explode_tlv(raw).drop("plain", "frames")
-    # The other engine has no numbers beyond fifteen bytes; there, the bytes are compared.
-    long = F.col("length") > 15
-    for name in ("uint_le", "int_le", "value_uint_le"):
-        out = out.withColumn(name, F.when(long, F.col("hex")).otherwise(F.col(name)))
-    return plain(out)
+    raw = messages(spark, sf).select("event_id", "plain", "frames")
+    return plain(explode_tlv(raw, carry=["event_id"]))
 
 
 @query
 def frame_audit(spark, sf):
-    return plain(audit_frames(A.messages(A.events(spark, sf)).select("frames")))
+    return plain(audit_frames(messages(spark, sf).select("frames")))
 
 
 # ------------------------------------------------- the same operators elsewhere

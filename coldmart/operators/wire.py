@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from coldmart.functions import wire
+from coldmart.functions import parameters, wire
 from coldmart.functions.rows import computed
 
 
@@ -27,13 +32,15 @@ def backfill_payload(raw: DataFrame) -> DataFrame:
     ).select(*raw.columns, "payload_error")
 
 
-def explode_tlv(raw: DataFrame) -> DataFrame:
+def explode_tlv(raw: DataFrame, carry: Sequence[str] | None = None) -> DataFrame:
     """One row per parameter of any message, with the readings its bytes allow.
 
     Bodies in the clear are read as they are, others from their joined notifications. Numbers of
     any length are decimal text. A message that cannot be read is one row that says why in
-    ``error`` and has no key.
+    ``error`` and has no key; one without parameters is no row. ``carry`` names the columns of
+    ``raw`` that go with each parameter, all of them if it is not given.
     """
+    carry = list(raw.columns if carry is None else carry)
     # Notifications are looked at only where there is no body in the clear.
     clear = F.coalesce(F.length("plain") > 0, F.lit(False))
     framed = computed(raw, _frames=F.transform(F.when(~clear, F.col("frames")), wire.clean_hex))
@@ -42,54 +49,23 @@ def explode_tlv(raw: DataFrame) -> DataFrame:
         F.col("_status") == "ok", wire.joined_payload(F.col("_frames"))
     )
     bodies = computed(status, _body=body)
-    coded = computed(bodies, _codes=wire.byte_codes(F.col("_body")))
-    read = computed(coded, _tlv=wire.parse_parameters(F.col("_codes")))
-    fault = F.when(clear & F.col("_body").isNull(), "not_hex").when(~clear & (F.col("_status") != "ok"), F.col("_status"))
-    told = computed(read, error=F.coalesce(fault, F.col("_tlv.error")))
-    nothing = F.array(F.lit(None).cast("struct<key:int,from:int,count:int>"))
-    rows = told.withColumn(
-        "_p", F.explode(F.when(F.col("error").isNotNull(), nothing).otherwise(F.col("_tlv.found")))
-    )
-    codes, p = F.col("_codes"), F.col("_p")
-    start, count = p["from"], p["count"]
-    raw_hex = wire.hex_slice(F.col("_body"), start, count)
-    typed = count > 1
-    kind = F.when(typed, wire.hex_slice(F.col("_body"), start, F.lit(1)))
-    value_hex = wire.hex_slice(F.col("_body"), start + 1, count - 1)
-    body_codes, value = wire.part(codes, start, count), wire.value_codes(codes, p)
-    length = wire.value_count(p)
-    printable = (count > 0) & F.forall(body_codes, lambda c: c.between(32, 126))
-    return rows.select(
-        *raw.columns,
-        "error",
-        F.when(F.col("error").isNull(), F.get("_codes", F.lit(0)) == 0).alias("prefix"),
-        F.upper(F.lpad(F.hex(p["key"].cast("bigint")), 2, "0")).alias("key"),
-        kind.alias("type_byte"),
-        count.cast("bigint").alias("length"),
-        raw_hex.alias("hex"),
-        wire.le_unsigned_text(body_codes).alias("uint_le"),
-        wire.le_signed_text(body_codes).alias("int_le"),
-        F.when(typed, value_hex).alias("value_hex"),
-        F.when(typed, wire.le_unsigned_text(value)).alias("value_uint_le"),
-        F.when((kind == wire.I16) & (length == 2), wire.le_signed(value)).alias("i16"),
-        F.when((kind == wire.U8) & (length == 1), wire.le_unsigned(value)).alias("u8"),
-        F.when((kind == wire.F32) & (length == 4), _float32(value)).alias("f32"),
-        F.when(kind == wire.TEXT, wire.utf8_text(value_hex)).alias("text"),
-        F.when(printable, wire.ascii_text(body_codes)).alias("ascii"),
+    fault = F.when(clear & F.col("_body").isNull(), "not_hex").when(
+        ~clear & (F.col("_status") != "ok"), F.col("_status")
     )
+    given = bodies.select(F.unhex("_body").alias("_body"), fault.alias("_fault"), *carry)
+    result = T.StructType([*given.schema.fields[2:], *T.StructType.fromDDL(parameters.READINGS)])
+    schema = to_arrow_schema(result)
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            message, readings = parameters.readings(batch.column(0), batch.column(1))
+            carried = [column.take(message) for column in batch.columns[2:]]
+            columns = [*carried, *readings]
+            yield pa.RecordBatch.from_arrays(
+                [column.cast(field.type) for column, field in zip(columns, schema)], schema=schema
+            )
 
-def _float32(value):
-    """IEEE single out of four little-endian bytes; NULL for infinities and NaN."""
-    bits = wire.le_unsigned(value)
-    sign = F.when(F.shiftright(bits, 31).bitwiseAND(F.lit(1)) == 1, -1.0).otherwise(1.0)
-    exponent = F.shiftright(bits, 23).bitwiseAND(F.lit(255))
-    mantissa = bits.bitwiseAND(F.lit(8388607))
-    normal = (mantissa / F.lit(8388608.0) + 1) * F.pow(F.lit(2.0), exponent - 127)
-    tiny = mantissa / F.lit(8388608.0) * F.pow(F.lit(2.0), F.lit(-126.0))
-    return F.when(exponent == 255, None).otherwise(
-        sign * F.when(exponent == 0, tiny).otherwise(normal)
-    )
+    return given.mapInArrow(read, result)
 
 
 def audit_frames(raw: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import random
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from coldmart.functions import wire
+from coldmart.functions import parameters, wire
 from coldmart.operators.wire import audit_frames, backfill_payload, explode_tlv
 from coldmart.schemas import PAYLOAD
 
@@ -170,3 +171,54 @@ def fragments(*order, total=3):
 def test_frames_are_audited(spark, frames, status):
     (row,) = audit_frames(spark.createDataFrame([("4402", None, frames)], RAW)).collect()
     assert (row["status"], row["messages"], row["notifications"]) == (status, 1, len(frames or []))
+
+
+def walked(message: bytes):
+    """Parameters of a message, one after another, or what is wrong with it."""
+    at, out = (1 if message[:1] == b"\0" else 0), []
+    while at < len(message):
+        if at + 2 > len(message):
+            return "truncated_parameter"
+        key, count = message[at], message[at + 1]
+        if at + 2 + count > len(message):
+            return "parameter_past_end"
+        out.append((f"{key:02X}", message[at + 2 : at + 2 + count]))
+        at += 2 + count
+    return out
+
+
+def test_many_messages_at_once_are_read_as_one_by_one(spark):
+    of = random.Random(7)
+
+    def message():
+        sound = b"".join(tlv(of.randrange(256), of.randbytes(of.choice([0, 1, 2, 3, 5, 9, 40, 255]))) for _ in range(of.randrange(6)))
+        return of.choice([b"", b"\0"]) + sound[: len(sound) - of.choice([0, 0, 0, 1, 3])]
+
+    bodies = [message() for _ in range(600)] + [b"\0", b"", tlv(1, b"") * 3000]
+    df = spark.createDataFrame([(str(k), b.hex(), []) for k, b in enumerate(bodies)], RAW).repartition(3)
+    rows = explode_tlv(df, carry=["cmd"]).collect()
+    assert rows[0].asDict().keys() == {"cmd", *parameters_names()}
+    got = {}
+    for r in rows:
+        got.setdefault(int(r["cmd"]), []).append(r)
+    for k, body_ in enumerate(bodies):
+        want, have = walked(body_), got.get(k, [])
+        if not body_:
+            assert [r["error"] for r in have] == ["no_frames"]
+        elif isinstance(want, str):
+            assert [(r["error"], r["key"], r["hex"]) for r in have] == [(want, None, None)]
+        else:
+            assert [(r["key"], r["hex"], int(r["uint_le"]), int(r["int_le"])) for r in have] == [
+                (key, v.hex().upper(), int.from_bytes(v, "little"), int.from_bytes(v, "little", signed=True)) for key, v in want
+            ]
+            assert all(r["prefix"] == (body_[:1] == b"\0") for r in have)
+
+
+def parameters_names():
+    return [part.split()[0] for part in parameters.READINGS.split(", ")]
+
+
+def test_an_archive_without_messages_has_no_parameters(spark):
+    df = spark.createDataFrame([], RAW)
+    assert explode_tlv(df).collect() == []
+    assert explode_tlv(df).columns == ["cmd", "plain", "frames", *parameters_names()]
