@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coldmart.functions.rows import computed
 from coldmart.llm import scratch
 from coldmart.llm.text import WHITE, ascii_lower
 
@@ -32,14 +33,14 @@ def _digest(lowered: Column, min_length: int) -> Column:
     )
 
 
-def _without(lines: Column, gone: Column) -> Column:
-    """``lines`` without the sorted positions ``gone``, in one pass over the stretches between."""
-    ends = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
+def _without(lines: Column, ends: Column) -> Column:
+    """The lines between the positions ``ends``, which begin with -1 and end with their number.
+
+    Both are columns of their own, so each stretch costs its own length.
+    """
     stretches = F.transform(
-        F.sequence(F.lit(0), F.size(gone)),
-        lambda i: F.slice(
-            lines, F.get(ends, i) + 2, F.get(ends, i + 1) - F.get(ends, i) - 1
-        ),
+        F.sequence(F.lit(1), F.size(ends) - 1),
+        lambda i: F.slice(lines, F.get(ends, i - 1) + 2, F.get(ends, i) - F.get(ends, i - 1) - 1),
     )
     return F.array_join(F.flatten(stretches), "\n")
 
@@ -62,6 +63,7 @@ def drop_common_lines(
         whole.select(
             "id",
             "version",
+            F.monotonically_increasing_id().alias("row_no"),
             F.transform(
                 F.split(ascii_lower(F.col("text")), "\n", -1),
                 lambda line: _digest(line, min_length),
@@ -69,14 +71,11 @@ def drop_common_lines(
         ),
         "line-keys",
     )
-    counted = hashed.select("id", "version", F.explode(F.array_distinct("keys")).alias("key")).filter(
-        "key IS NOT NULL"
-    )
-    counted = counted.select(
-        "key.a", "key.b", "id", F.when(F.col("id").isNull(), F.col("version")).alias("nameless")
-    )
-    if distinct_ids:  # repeated rows are reduced before the shuffle, which is by line and document
-        counted = counted.distinct()
+    # A line counts once a row, or once a document; repeats go before the shuffle.
+    nameless = F.when(F.col("id").isNull(), F.col("version"))
+    owner = [F.col("id"), nameless] if distinct_ids else [F.col("row_no")]
+    counted = hashed.select(F.explode("keys").alias("key"), F.struct(*owner).alias("owner"))
+    counted = counted.filter("key IS NOT NULL").select("key.a", "key.b", "owner").distinct()
     # A table, so that the join below is a plain one whose large partitions Spark splits.
     common = scratch.table(
         counted.groupBy("a", "b")
@@ -94,16 +93,18 @@ def drop_common_lines(
         .groupBy(F.col("id").alias("gone_id"), F.col("version").alias("gone_version"))
         .agg(F.sort_array(F.collect_set("position")).alias("gone"))
     )
-    lines = F.split("text", "\n", -1)
-    return whole.join(
+    joined = whole.join(
         gone,
         F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("version") == F.col("gone_version")),
         "left",
-    ).select(
+    )
+    cut = computed(joined, _lines=F.split("text", "\n", -1))
+    ends = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("_lines")))
+    return computed(cut, _ends=ends).select(
         "row",
         F.when(F.col("gone").isNull(), F.col("text"))
-        .otherwise(_without(lines, F.col("gone")))
+        .otherwise(_without(F.col("_lines"), F.col("_ends")))
         .alias("kept_text"),
-        F.size(lines).cast("bigint").alias("n_lines"),
+        F.size("_lines").cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )

@@ -77,6 +77,15 @@ def test_line_dedup_of_equal_rows_and_of_nothing(spark):
     assert line_dedup.drop_common_lines(one.limit(0)).count() == 0
 
 
+def test_line_dedup_of_very_many_lines(spark):
+    lines = [f"own {k}" if k % 2 else f"shared {k}" for k in range(200_000)]
+    texts = ["\n".join(lines), "\n".join(lines[::2]), "\n".join(lines[1::2][:5] + ["end"])]
+    got = line_dedup.drop_common_lines(docs_of(spark, texts), min_docs=2, distinct_ids=True)
+    rows = got.orderBy("row.doc_id").collect()
+    assert [(r.n_lines, r.n_dropped) for r in rows] == [(200_000, 100_005), (100_000, 100_000), (6, 5)]
+    assert [r.kept_text for r in rows] == ["\n".join(lines[1::2][5:]), "", "end"]
+
+
 def test_line_dedup_counts_a_document_delivered_often_once(spark):
     import corpus_pipeline
 
@@ -100,14 +109,17 @@ def plain_scan(text):
         at = [i for i in range(len(tokens)) if tokens[i : i + len(parts)] == parts]
         places += at
         base |= {label} if at else set()
-    step = max(len(t.split()) for v in licenses.TEMPLATES.values() for t in v)
+    step = max(len(t.split()) for v in licenses.TEMPLATES.values() for t, _ in v)
     labels, share = set(base), 0.0
     for at in range(0, max(len(tokens) - 1 - step, 0) + 1, step):
-        held = set(tokens[at : at + 2 * step])
+        block = tokens[at : at + 2 * step]
+        held = set(block)
         for label, wordings in licenses.TEMPLATES.items():
-            for wording in wordings:
-                whole = set(wording.split())
-                if len(whole & held) >= licenses.THRESHOLD * len(whole) - 1e-9:
+            for wording, telling in wordings:
+                whole, row = set(wording.split()), telling.split()
+                least = len(whole) if len(whole) < 10 else licenses.THRESHOLD * len(whole) - 1e-9
+                stands = any(block[i : i + len(row)] == row for i in range(len(block)))
+                if stands and len(whole & held) >= least:
                     labels.add(label)
                     share = max(share, len(whole & held) / len(whole))
     return (
@@ -136,6 +148,20 @@ def test_license_scan_agrees_with_a_plain_version(spark):
         licenses.scan(docs_of(spark, ["a"]), phrases={" ": "none"})
 
 
+@pytest.mark.parametrize("form", ["Licensed under CC BY{} 4.0.", "Licensed under a Creative Commons Attribution{} 4.0 International License"])
+def test_creative_commons_licenses_are_told_apart(spark, form):
+    short = {"cc-by": "", "cc-by-sa": "-SA", "cc-by-nc": "-NC", "cc-by-nd": "-ND"}
+    long = {"cc-by": "", "cc-by-sa": "-ShareAlike", "cc-by-nc": "-NonCommercial", "cc-by-nd": "-NoDerivatives"}
+    more = short if "CC BY" in form else long
+    filler = "by 4 0 nc sa nd and others " * 30
+    texts = [form.format(m) for m in more.values()] + [filler + form.format(m) + " " + filler for m in more.values()]
+    got = licenses.scan(docs_of(spark, texts)).orderBy("id").collect()
+    assert [r.labels for r in got] == [*more, *more]
+    assert all(r.score == 1.0 for r in got)
+    both = licenses.scan(docs_of(spark, [" ".join(form.format(m) for m in more.values())])).first()
+    assert both.labels == ",".join(sorted(more))
+
+
 # ------------------------------------------------------------------------ language
 
 
