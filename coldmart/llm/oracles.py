@@ -130,32 +130,41 @@ def _licenses() -> str:
         ("apache license version 2", "apache-2"),
         ("cc by nc", "cc-by-nc"),
     ]
+    creative = "licensed under a creative commons attribution"
     templates = [
-        ("mit", "released under the mit license"),
+        ("mit", "released under the mit license", "mit license"),
         ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"
-                " and associated documentation files to deal in the software without restriction"),
-        ("apache-2", "licensed under the apache license version 2 0"),
+                " and associated documentation files to deal in the software without restriction",
+         "permission is hereby granted"),
+        ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
         ("apache-2", "licensed under the apache license you may not use this file except in compliance"
-                     " with the license"),
-        ("cc-by-nc", "licensed under cc by nc 4 0"),
-        ("cc-by-nc", "creative commons attribution noncommercial international license"),
-        ("cc-by", "licensed under cc by 4 0 creative commons attribution"),
-        ("gpl-3", "this work is licensed under the gnu general public license version 3"),
+                     " with the license", "under the apache license"),
+        ("cc-by", "licensed under cc by 4 0", "cc by 4"),
+        ("cc-by", f"{creative} 4 0 international license", "attribution 4"),
+        ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa 4"),
+        ("cc-by-sa", f"{creative} sharealike 4 0 international license", "attribution sharealike 4"),
+        ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc 4"),
+        ("cc-by-nc", f"{creative} noncommercial 4 0 international license", "attribution noncommercial 4"),
+        ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd 4"),
+        ("cc-by-nd", f"{creative} noderivatives 4 0 international license", "attribution noderivatives 4"),
+        ("gpl-3", "this work is licensed under the gnu general public license version 3",
+         "gnu general public license version 3"),
         ("gpl-3", "free software you can redistribute it and or modify it under the terms of the gnu general"
-                  " public license as published by the free software foundation"),
+                  " public license as published by the free software foundation", "gnu general public license"),
         ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"
-                " provided that the following conditions are met"),
+                " provided that the following conditions are met",
+         "redistribution and use in source and binary forms"),
     ]
-    step = max(len(t.split()) for _, t in templates)
+    step = max(len(t.split()) for _, t, _ in templates)
     said = ", ".join(f"('{label}', string_split('{p}', ' '))" for p, label in phrases)
-    held = ", ".join(f"('{label}', list_distinct(string_split('{t}', ' ')))" for label, t in templates)
+    held = ", ".join(f"('{label}', list_distinct(string_split('{t}', ' ')), ' {telling} ')" for label, t, telling in templates)
     return f"""
 WITH texts AS (
   SELECT doc_id, list_filter(regexp_split_to_array({_lowered("coalesce(text, '')")},
          '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS t
   FROM documents
 ), phrases(label, p) AS (VALUES {said}
-), templates(label, p) AS (VALUES {held}
+), templates(label, p, telling) AS (VALUES {held}
 ), places AS (
   SELECT doc_id, label, i - 1 AS word
   FROM texts, phrases, unnest(generate_series(1, len(t) - len(p) + 1)) AS g(i)
@@ -164,12 +173,15 @@ WITH texts AS (
   SELECT doc_id, count(*) AS n, min(word) AS a, max(word) AS b, list_distinct(list(label)) AS labels
   FROM places GROUP BY doc_id
 ), windows AS (
-  SELECT doc_id, list_distinct(t[i + 1 : i + {2 * step}]) AS held
+  SELECT doc_id, list_distinct(t[i + 1 : i + {2 * step}]) AS held,
+         ' ' || array_to_string(t[i + 1 : i + {2 * step}], ' ') || ' ' AS said
   FROM texts, unnest(generate_series(0, greatest(len(t) - 1 - {step}, 0), {step})) AS g(i)
   WHERE list_has_any(t, list_distinct(flatten((SELECT list(p) FROM templates))))
 ), met AS (
   SELECT doc_id, label, len(list_intersect(p, held)) AS n, len(p) AS whole
-  FROM windows, templates WHERE len(list_intersect(p, held)) >= ceil(0.85 * len(p) - 1e-9)
+  FROM windows, templates
+  WHERE len(list_intersect(p, held)) >= CASE WHEN len(p) < 10 THEN len(p) ELSE ceil(0.85 * len(p) - 1e-9) END
+    AND contains(said, telling)
 ), joined AS (
   SELECT doc_id, list_distinct(list(label)) AS labels, max(n / whole) AS share FROM met GROUP BY doc_id
 )
