@@ -4,9 +4,10 @@ A text becomes symbols, one a character; an agenda holds the pairs of neighbours
 the best score first and the leftmost of equals. The best pair is joined, its new neighbours enter
 the agenda, until it is empty. What is no piece falls back to the bytes of its UTF-8 form.
 
-No piece holds a space mark after another character, so no pair ever spans the start of a word:
-the agenda of a text falls into those of its words, and a word met before is looked up. The
-vocabulary itself is asked whether that holds; one of which it does not is encoded as one word.
+No piece holds a space mark after another character, or characters of two groups that no piece
+links, so no pair ever spans the border between two such stretches: the agenda of a text falls
+into those of its words, and a word met before is looked up. The vocabulary itself is asked for
+these groups; where one holds marks inside pieces, a text is encoded as one word.
 
 ``encode_documents`` compares every batch with the sentencepiece library. Its rows come from the
 agenda; ``agrees`` says whether the library gave the same ids and the same decoded text.
@@ -20,6 +21,7 @@ import hashlib
 import heapq
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
@@ -34,8 +36,9 @@ from coldmart.llm.hashing import batches_of
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
-REMEMBERED = 500_000  # words a task keeps before it starts afresh
+REMEMBERED = 1_000_000  # words a task keeps before it starts afresh
 LONGEST_REMEMBERED = 64  # characters
+GROUPS = 6  # of characters that are told apart as words are found
 ROWS = 1 << 12  # words worked out at once
 NEVER = np.iinfo(np.int32).max  # the rank of a pair that is no piece
 WINDOW = 1 << 20  # characters worked on at a time
@@ -70,13 +73,39 @@ class Vocabulary:
         self.controls = [k for k, kind in enumerate(self.kinds) if kind == CONTROL]
         self.end = [p.piece for p in proto.pieces].index(trainer.eos_piece)
         self.surfaces = [self._surface(p, trainer.unk_surface) for p in proto.pieces]
-        # Characters that some longer piece holds; all others stay alone.
-        joining = {c for piece in self.ids if len(piece) > 1 for c in piece} - {self.mark}
         self.by_words = all(self.mark not in piece.lstrip(self.mark) for piece in self.ids)
-        self._number_pairs(joining)
-        inside, mark = f"[{re.escape(''.join(sorted(joining)))}]", re.escape(self.mark)
-        outside = f"[^{mark}{inside[1:]}"
-        self.words = re.compile(f"{mark}+{inside}*|{inside}+|{outside}+" if self.by_words else "(?s:.+)")
+        groups = self._groups()
+        self._number_pairs({c for group in groups for c in group})
+        self.words = re.compile(self._words_of(groups) if self.by_words else "(?s:.+)")
+
+    def _groups(self) -> list[list[str]]:
+        """Characters, but for the mark, that longer pieces link as neighbours; the most pieces first."""
+        leader: dict[str, str] = {}
+
+        def lead(c: str) -> str:
+            while leader.setdefault(c, c) != c:
+                leader[c] = c = leader[leader[c]]
+            return c
+
+        for piece in self.ids:
+            inner = piece.replace(self.mark, "")
+            if len(piece) > 1 and inner:
+                for c in inner:
+                    leader[lead(c)] = lead(inner[0])
+        held = Counter(lead(piece[-1]) for piece in self.ids if piece[-1] in leader)
+        return [sorted(c for c in leader if lead(c) == first) for first, _ in held.most_common()]
+
+    def _words_of(self, groups: list[list[str]]) -> str:
+        """A pattern of stretches that no piece reaches out of.
+
+        No piece spans two groups, so a word ends where its group does; small groups count as one.
+        Characters of no group stay alone.
+        """
+        few = [[c for group in groups[GROUPS:] for c in group]]
+        parts = ["[" + re.escape("".join(g)) + "]" for g in [*groups[:GROUPS], *few] if g]
+        mark, inside = re.escape(self.mark), "|".join(f"{part}+" for part in parts)
+        outside = f"[^{mark}" + "".join(part[1:-1] for part in parts) + "]+"
+        return f"{mark}+(?:{inside})?|{inside}|{outside}" if parts else f"{mark}+|{outside}"
 
     def _number_pairs(self, joining: set[str]) -> None:
         """Symbols as numbers, and the pairs of them that make a piece, for many words at once."""
@@ -260,18 +289,18 @@ class Codec:
                 out.append(found)
         return out.tobytes()
 
-    def decode(self, ids: Sequence[int], at_start: bool = True) -> str:
+    def decode(self, ids: Sequence[int], at_start: bool = True, own: bool = False) -> str:
         """The text of some ids; ``at_start`` if they begin a text, whose own mark is then dropped.
 
-        Bytes that are no UTF-8 show as one replacement character each.
+        ``own`` ids come from ``encode``, which gives no control piece. Bytes that are no UTF-8 show as one replacement character each.
         """
         vocabulary = self._vocabulary
         surfaces = vocabulary.surfaces
         try:
-            if any(i in ids for i in vocabulary.controls):
-                raise ValueError  # a control piece ends a run of bytes
             text = b"".join(map(surfaces.__getitem__, ids)).decode()
-        except ValueError:
+            if any(i in ids for i in vocabulary.controls if not own):
+                text = self._decode_by_runs(ids)  # a control piece ends a run of bytes
+        except UnicodeDecodeError:
             text = self._decode_by_runs(ids)
         if at_start and vocabulary.prefix:
             shown = next((i for i in ids if vocabulary.kinds[i] != CONTROL), None)
@@ -394,7 +423,7 @@ def _of_text(text: str, encoded: Iterator, own: Codec, library, wanted: Sequence
     all_ids, all_decoded, n_tokens, agrees = array("i"), [], 0, True
     for k, (window, packed) in enumerate(encoded):
         ids = packed.tolist()
-        decoded = own.decode(ids, at_start=k == 0)
+        decoded = own.decode(ids, at_start=k == 0, own=True)
         if library and agrees:
             # The library puts its own mark before what it is given, so a later window goes without.
             theirs = library.encode(text if len(text) < WINDOW else window[len(own.prefix) :])
