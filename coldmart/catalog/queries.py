@@ -29,7 +29,7 @@ from coldmart.operators.slots import allocate, observed_span, slot_snapshot
 from coldmart.operators.wire import audit_frames, backfill_payload, explode_tlv
 from coldmart.plans import dims, facts, outlook, quality, reading, staging
 from coldmart.plans.build import staged_reports
-from coldmart.session import staged, tune
+from coldmart.session import tune
 from coldmart.sources import chunks, gateway, signals
 from coldmart.sources.seeds import UNITS, read_seed
 from coldmart.streaming import arrivals, commands, gaps
@@ -160,8 +160,7 @@ def calendar_order_days(spark, sf):
 @query
 def state_update_fact(spark, sf):
     updates, shaken = staged_reports(*_raw(spark, sf), A.REPORT_ORDER, A.HANDSHAKE_ORDER)
-    devices = staged(dims.device_versions(shaken, updates), "devices")
-    batteries = staged(dims.battery_dim(updates), "batteries")
+    devices, batteries = dims.device_versions(shaken, updates), dims.battery_dim(updates)
     fact = facts.state_update_fact(updates, devices, batteries)
     return plain(
         fact.drop("display_unit", "protection_level", "brightness", "ambient_humidity_percent"),
@@ -811,13 +810,9 @@ def asof_lineitem_priority(spark, sf):
             F.concat_ws("|", "o_orderpriority", F.col("o_orderkey").cast("string")),
         ).alias("priority")
     )
-    versions = staged(
-        dims.version_changes(per_day, "o_custkey", "at", "priority").select(
-            "o_custkey", "priority", F.col("at").alias("valid_from"),
-            F.col("closed_at").alias("valid_to"),
-        ),
-        "versions",
-    )
+    versions = dims.version_changes(per_day, "o_custkey", "at", "priority").select(
+        "o_custkey", "priority", F.col("at").alias("valid_from"), F.col("closed_at").alias("valid_to")
+    )
     lines = (
         spark.read.parquet(f"{sf}/lineitem.parquet")
         .select("l_orderkey", "l_linenumber", "l_shipdate")

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coldmart.operators.ordered import DAY, MICROS
-from coldmart.session import staged
+from coldmart.operators.ordered import CHUNK_ROWS, last_known
 
 
 def asof_version(
@@ -19,78 +18,42 @@ def asof_version(
     values: Sequence[str],
     valid_from: str = "valid_from",
     valid_to: str = "valid_to",
+    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Left join on ``valid_from <= at < valid_to`` (a NULL end is open) within ``key``.
 
-    Two equi joins. The open version is one row per key. Closed versions are filed under
-    the time buckets they cover, each key with a bucket width of its own: its whole span
-    divided by its number of versions. That files at most two rows per version, and a row
-    of the fact meets the versions of its bucket instead of every version of the key.
-
-    Both sides made of versions are written first. Their size is then a fact and not an
-    estimate made of joins and explodes, so small ones are broadcast from the start and the
-    fact is not shuffled for them.
+    A merge: facts and versions of a key stand in one order, a version before the facts of its
+    instant, and each fact is told the last version before it. The versions of a key must not
+    overlap; those that end where they begin hold for no instant. A key with a third of all
+    facts, or ten thousand versions in a second, is cut into chunks of about ``rows`` rows like
+    any long series, and the last version is carried across their ends. A fact without a key or
+    an instant, or outside every version, gets NULLs.
     """
     start, end = F.unix_micros(valid_from), F.unix_micros(valid_to)
-    carried = F.struct(*values)
-    closed = F.col(valid_to).isNotNull() & (end > start)
-    per_key = versions.groupBy(key).agg(
-        F.max_by(
-            F.struct(start.alias("since"), carried.alias("v")),
-            F.when(F.col(valid_to).isNull(), start),
-        ).alias("_open"),
-        F.ceil(
-            (F.max(F.when(closed, end)) - F.min(F.when(closed, start)))
-            / F.greatest(F.count_if(closed), F.lit(1))
-        )
-        .cast("bigint")
-        .alias("_width"),
-    )
-    per_key = per_key.withColumn(
-        "_width", F.greatest(F.coalesce("_width", F.lit(DAY * MICROS)), F.lit(1).cast("bigint"))
-    )
-    per_key = staged(per_key, "versions-per-key")
-    filed = (
-        versions.filter(closed)
-        .select(key, start.alias("_from"), end.alias("_to"), carried.alias("_closed"))
-        .join(per_key.select(key, "_width"), key)
-        .withColumn(
-            "_bucket",
-            F.explode(
-                F.sequence(
-                    _bucket(F.col("_from"), F.col("_width")),
-                    _bucket(F.col("_to") - F.lit(1), F.col("_width")),
-                )
-            ),
-        )
-        .drop("_width")
-    )
-    filed = staged(filed, "versions-filed")
-    moment = F.col("_at")
-    found = (
-        facts.withColumn("_at", F.unix_micros(at))
-        .join(per_key, key, "left")
-        .withColumn("_bucket", _bucket(moment, F.coalesce("_width", F.lit(DAY * MICROS))))
-        .alias("f")
-        .join(
-            filed.alias("d"),
-            (F.col(f"f.{key}") == F.col(f"d.{key}"))
-            & (F.col("f._bucket") == F.col("d._bucket"))
-            & (F.col("f._at") >= F.col("d._from"))
-            & (F.col("f._at") < F.col("d._to")),
-            "left",
-        )
+    # Said of the value and not by a filter, whose constraints Spark would copy with each alias.
+    lasting = F.col(key).isNotNull() & (end.isNull() | (end > start))
+    told = versions.select(
+        F.col(key).alias("_key"),
+        start.alias("_at"),
+        F.lit(0).alias("_fact"),
+        F.lit(0).cast("bigint").alias("_apart"),
+        F.when(lasting, F.struct(*values, end.alias("_until"))).alias("_version"),
     )
-    matched = F.when(F.col("d._closed").isNotNull(), F.col("d._closed")).when(
-        F.col("f._at") >= F.col("f._open.since"), F.col("f._open.v")
+    # Facts of one instant are told apart by a hash, so that they too can be cut.
+    asking = (
+        facts.withColumn("_key", F.col(key))
+        .withColumn("_at", F.unix_micros(at))
+        .withColumn("_fact", F.lit(1))
+        .withColumn("_apart", F.xxhash64(*facts.columns))
     )
+    merged = asking.unionByName(told, allowMissingColumns=True)
+    order = ["_at", "_fact", "_apart"]
+    found = last_known(merged, ["_key"], order, "_found", F.col("_version"), rows).filter("_fact = 1")
+    until = F.col("_found._until")
+    holds = until.isNull() | (F.col("_at") < until)
     return found.select(
-        *[F.col(f"f.{c}") for c in facts.columns], matched.alias("_version")
-    ).select(*facts.columns, *[F.col(f"_version.{v}").alias(v) for v in values])
-
-
-def _bucket(at: Column, width: Column) -> Column:
-    return F.call_function("div", at - F.pmod(at, width), width)
+        *facts.columns, *[F.when(holds, F.col(f"_found.{v}")).alias(v) for v in values]
+    )
 
 
 def lookup_or_absent(

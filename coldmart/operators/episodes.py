@@ -7,8 +7,8 @@ ends on the first report within ``reach`` of the setpoint, or where recording br
 The state machine only needs, at any row, the last thing that happened before it: an
 opening or an ending. So a device's history does not have to sit in one task:
 
-1. Reports are windowed per (device, time chunk), seeing ``silence`` seconds past each
-   border. A neighbour further away than that is a break whoever it is.
+1. Every report is told its neighbours, and long histories are cut into chunks by their
+   number of rows (``ordered.neighbours``).
 2. Within a chunk, rows between two endings form a block, and a block from its first
    opening on is a candidate episode. Blocks are reduced to one partial row each.
 3. What a chunk cannot know is whether an episode was open when it began. Only its first
@@ -22,24 +22,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coldmart.functions import date_key, jst_date, whole_millis_between
-from coldmart.operators.ordered import HOUR, MICROS, with_halo
+from coldmart.operators.ordered import CHUNK_ROWS, MICROS, neighbours
 
 _SUMS = ("held", "discharged", "charged", "ambient", "ambient_weight", "external")
 
 
 def flag_reports(
-    fact: DataFrame,
-    device: str,
-    rise: int,
-    reach: int,
-    silence: int,
-    chunk_seconds: int,
+    fact: DataFrame, device: str, rise: int, reach: int, silence: int, rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Reports with ``_opens``, ``_ends``, ``_fades`` and their chunk.
-
-    ``_fades`` marks an ending known only from nobody following within the silence. For
-    the very last report of a device that is not an ending; see ``_assemble``.
-    """
+    """Reports with ``_opens``, ``_ends`` and their chunk; the last one of a device may not end."""
     # What an episode is made of.
     columns = [
         device, "state_update_key", "cooler_key", "battery_key", "boot_id", "updated_at",
@@ -47,22 +38,19 @@ def flag_reports(
         "state_of_charge_percent", "battery_state", "external_input",
         "discharged_watt_hours", "charged_watt_hours", "ambient_temperature_celsius",
     ]
-    at = F.unix_micros("updated_at")
-    haloed = with_halo(
-        fact.select(*columns).withColumn("_at", at),
-        F.col("_at"),
-        chunk_seconds * MICROS,
-        before=silence * MICROS,
-        after=silence * MICROS,
-    )
-    series = Window.partitionBy(device, "_chunk").orderBy("updated_at", "state_update_key")
     above = F.col("interior_temperature_celsius") >= F.col("setpoint_celsius") + F.lit(rise)
     at_setpoint = F.col("interior_temperature_celsius") <= F.col("setpoint_celsius") + F.lit(reach)
     quiet = F.lit(silence * MICROS)
-    before = F.lag(
-        F.struct("boot_id", "_at", "battery_state", "setpoint_celsius", above.alias("above"))
-    ).over(series)
-    after = F.lead(F.struct("boot_id", "_at")).over(series)
+    before = F.struct("boot_id", "_at", "battery_state", "setpoint_celsius", above.alias("above"))
+    told = neighbours(
+        fact.select(*columns, F.unix_micros("updated_at").alias("_at")),
+        [device],
+        ["updated_at", "state_update_key"],
+        lag={"_before": before},
+        lead={"_after": F.struct("boot_id", "_at")},
+        rows=rows,
+        keep_chunk=True,
+    )
     discontinuous = (
         F.col("_before").isNull()
         | (F.col("_before.boot_id") != F.col("boot_id"))
@@ -75,10 +63,7 @@ def flag_reports(
         | (F.col("_after._at") - F.col("_at") >= quiet)
     )
     return (
-        haloed.withColumn("_before", before)
-        .withColumn("_after", after)
-        .filter("_own")
-        .withColumn("_reached", F.coalesce(at_setpoint, F.lit(False)))
+        told.withColumn("_reached", F.coalesce(at_setpoint, F.lit(False)))
         .withColumn("_discontinuous", F.coalesce(discontinuous, F.lit(False)))
         .withColumn(
             "_opens",
@@ -88,7 +73,6 @@ def flag_reports(
             ),
         )
         .withColumn("_ends", F.col("_reached") | F.coalesce(breaks, F.lit(False)))
-        .withColumn("_fades", ~F.col("_ends") & F.col("_after").isNull())
         .withColumn("_previous_setpoint", F.col("_before.setpoint_celsius"))
     )
 
@@ -96,7 +80,7 @@ def flag_reports(
 def _partials(flagged: DataFrame, device: str) -> DataFrame:
     """One row per (device, chunk, block, opened): everything an episode is made of."""
     series = Window.partitionBy(device, "_chunk").orderBy("updated_at", "state_update_key")
-    over = F.col("_ends") | F.col("_fades")
+    over = F.col("_ends")
     earlier = series.rowsBetween(Window.unboundedPreceding, -1)
     # Opened within its block: it opens, or the last thing before it in the chunk did.
     state = F.when(over, F.lit(False)).when(F.col("_opens"), F.lit(True))
@@ -142,39 +126,32 @@ def _partials(flagged: DataFrame, device: str) -> DataFrame:
                     "state_of_charge_percent",
                     "_reached",
                     F.col("_ends").alias("ends"),
-                    F.col("_fades").alias("fades"),
                 ),
                 order,
             ).alias("closing"),
-            # The report that ends an episode holds for no time within it ...
+            # The report that ends an episode holds for no time within it.
             *[F.sum(F.when(~over, e)).alias(f"sum_{n}") for n, e in parts.items()],
-            # ... unless its ending turns out not to be one.
-            *[F.sum(F.when(F.col("_fades"), e)).alias(f"fade_{n}") for n, e in parts.items()],
         )
     )
 
 
 def _assemble(partials: DataFrame, device: str) -> DataFrame:
     """Join partials across chunk borders; adds the start of the episode each belongs to."""
-    ends, fades = F.col("closing.ends"), F.col("closing.fades")
+    ends = F.col("closing.ends")
     edge = (F.col("_block") == 0) | ~ends
-    whole = Window.partitionBy(device, "_group")
-    series = whole.orderBy("_chunk", "_block", "_opened")
+    series = Window.partitionBy(device, "_group").orderBy("_chunk", "_block", "_opened")
     earlier = series.rowsBetween(Window.unboundedPreceding, -1)
     upto = series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Every chunk has a first block, so the edges of a device include its last chunk.
-    final = F.col("_chunk") == F.max("_chunk").over(whole)
     state = F.when(F.col("_over"), F.lit(False)).when(F.col("_opened"), F.lit(True))
     return (
         partials.withColumn("_group", F.when(~edge, F.col("_chunk")))
-        .withColumn("_over", ends | (fades & ~(edge & final)))
+        .withColumn("_over", ends)
         .withColumn("_state", state)
         .withColumn(
             "_running", F.coalesce(F.last("_state", ignorenulls=True).over(earlier), F.lit(False))
         )
         .withColumn("_starts", F.col("_opened") & ~F.col("_running"))
         .filter(F.col("_running") | F.col("_opened"))
-        .withColumn("_lasting", ~F.col("_over") & fades)
         .withColumn(
             "_start",
             F.last(
@@ -193,16 +170,13 @@ def pulldown_episodes(
     rise: int = 5,
     reach: int = 1,
     silence: int = 900,
-    chunk_seconds: int = 6 * HOUR,
+    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    flagged = flag_reports(fact, device, rise, reach, silence, chunk_seconds)
+    flagged = flag_reports(fact, device, rise, reach, silence, rows)
     members = _assemble(_partials(flagged, device), device)
 
     def total(name: str) -> Column:
-        faded = F.when(F.col("_lasting"), F.coalesce(F.col(f"fade_{name}"), F.lit(0.0)))
-        return F.sum(
-            F.coalesce(F.col(f"sum_{name}"), F.lit(0.0)) + F.coalesce(faded, F.lit(0.0))
-        ).alias(f"_{name}")
+        return F.sum(F.coalesce(F.col(f"sum_{name}"), F.lit(0.0))).alias(f"_{name}")
 
     closing = F.struct(
         "closing.updated_at",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldmart.operators.ordered import HOUR, with_halo
+from coldmart.operators.ordered import CHUNK_ROWS, neighbours
 
 
 def held_seconds(
@@ -15,20 +15,12 @@ def held_seconds(
     keys: Sequence[str] = ("boot_id", "address"),
     uptime: str = "uptime_seconds",
     cap: float = 600.0,
-    chunk_seconds: float = 6 * HOUR,
     name: str = "held_seconds",
+    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Seconds until the next report of the same link, at most ``cap``.
-
-    A successor further than ``cap`` away gives ``cap`` whoever it is, so a halo of that
-    width is all a chunk needs to see: exact, one shuffle, and no boot is one task.
-    """
-    series = Window.partitionBy(*keys, "_chunk").orderBy(uptime)
-    gap = F.lead(uptime).over(series) - F.col(uptime)
+    """Seconds until the next report of the same link, at most ``cap``; ``cap`` for the last one."""
     limit = F.lit(float(cap))
-    return (
-        with_halo(df, F.col(uptime), chunk_seconds, after=cap)
-        .withColumn(name, F.greatest(F.lit(0.0), F.least(limit, F.coalesce(gap, limit))))
-        .filter("_own")
-        .drop("_chunk", "_own")
-    )
+    gap = F.col("_next_uptime") - F.col(uptime)
+    followed = neighbours(df, keys, [uptime], lead={"_next_uptime": F.col(uptime)}, rows=rows)
+    held = F.greatest(F.lit(0.0), F.least(limit, F.coalesce(gap, limit)))
+    return followed.withColumn(name, held).drop("_next_uptime")

@@ -1,143 +1,229 @@
 """Ordered computations over series one task could not hold.
 
 A plain ``Window.partitionBy(device).orderBy(t)`` puts a device's whole history into one
-task, and one device may own a third of all rows. Everything here cuts a series into
-chunks of a fixed span first, so a task sees one chunk of one series, and then settles
-what crosses a chunk border on data that no longer grows with the rows:
-
-* ``with_halo``      copies the rows near a border into the chunk on the other side. Enough
-                     when a rule never looks further than a known distance; one shuffle.
-* ``neighbours``     exact lag/lead at any distance. The first and last row of each chunk
-                     meet in a second window: at most two rows per chunk and series, so
-                     with hourly chunks about 18,000 a year, whatever a series sends.
-* ``running_count``  in-chunk counts plus the chunk totals before them: one row per chunk.
+task, and one device may own a third of all rows; a span of time is no bound either, as all
+its reports may lie within an hour. Everything here cuts a series by its number of rows:
+
+* ``chunked``        numbers the chunks of long series. A sample of the rows, chosen by a hash,
+                     gives boundaries of about equal distance in the whole order, so reports of
+                     one instant are cut apart by the columns behind the instant. Only rows that
+                     are equal in all of ``order`` stay together.
+* ``neighbours``     exact lag and lead at any distance.
+* ``running_sum``    sums (``running_count``: counts) from the start of the series.
+* ``last_known``     the last value that was not NULL.
+
+The last three are scans in two levels: a window within each chunk, for which every row is
+shuffled once, and a window over one row a chunk (of long series only) that is joined back. A
+chunk holds about ``CHUNK_ROWS`` rows, so that second window sees a millionth of a series.
+
+Whether any series is long is asked of the sample when a scan is set up, one pass over keys and
+order. Where none is, as with most fleets, the plan is the plain window and no more.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 HOUR = 3600
 DAY = 86400
 MICROS = 1_000_000
 
+CHUNK_ROWS = 1 << 20
+SAMPLES = 32  # rows sampled for each chunk; their number varies by about a sixth
+
 
 def chunk_index(at: Column, length: int) -> Column:
-    """The chunk a whole-number position falls in, floored for negatives too."""
+    """The stretch a whole-number position falls in, floored for negatives too."""
     return F.call_function("div", at - F.pmod(at, F.lit(length)), F.lit(length)).cast("bigint")
 
 
-def time_chunk(t: Column, seconds: int) -> Column:
-    return chunk_index(F.unix_micros(t), seconds * MICROS)
+def _matched(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on ``keys``, NULL equal to NULL; only the other columns of ``other`` are added."""
+    renamed = other.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    on = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return df.join(renamed, on, how).drop(*[f"_of_{k}" for k in keys])
 
 
-def with_halo(
-    df: DataFrame, at: Column, length: float, before: float = 0, after: float = 0
+def boundaries(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """``df`` with ``_chunk`` and ``_own``: border rows also appear, not owned, next door.
+    """For each series of more than about ``rows`` rows where its chunks begin, in ``_bounds``.
 
-    A row within ``after`` of its chunk's start is shown to the previous chunk (which may
-    need its successor), one within ``before`` of the end to the next (which may need its
-    predecessor). Rows are multiplied by at most 1 + (before + after) / length.
+    An array of one place for each chunk but the first.
     """
-    if length < max(before, after):
-        raise ValueError("a chunk must be at least as long as its halo")
-    home = F.floor(at / F.lit(length)).cast("bigint")
-    offset = at - home * F.lit(length)
-    copies = [home]
-    if after:
-        copies.append(F.when(offset <= F.lit(after), home - 1))
-    if before:
-        copies.append(F.when(F.lit(length) - offset <= F.lit(before), home + 1))
+    each = min(SAMPLES, rows)
+    chosen = F.pmod(F.xxhash64(*keys, *order), F.lit(rows // each)) == 0
+    sample = df.select(*keys, F.struct(*order).alias("_scan_place")).filter(chosen)
+    places = F.sort_array(F.collect_list("_scan_place"))
+    bounds = F.filter(places, lambda _, i: F.pmod(i + 1, F.lit(each)) == 0)
+    return sample.groupBy(*keys).agg(bounds.alias("_scan_bounds")).filter(F.size("_scan_bounds") > 0)
+
+
+def _begun(bounds: Column, place: Column) -> Column:
+    """How many of the sorted ``bounds`` lie at or before ``place``, by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+
+    def step(found: Column, width: Column) -> Column:
+        fits = (found + width <= F.size(bounds)) & (F.get(bounds, found + width - 1) <= place)
+        return F.when(fits, found + width).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def chunked(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = CHUNK_ROWS
+) -> DataFrame | None:
+    """``df`` with ``_chunk``, which never falls along ``order``, and ``_long``: there are others.
+
+    Nothing, if no series is long.
+    """
+    bounds = boundaries(df, keys, order, rows)
+    if bounds.isEmpty():
+        return None
+    cut = _matched(df, bounds, keys, "left")
+    found = _begun(F.col("_scan_bounds"), F.struct(*order))
+    number = F.when(F.col("_scan_bounds").isNull(), 0).otherwise(found)
     return (
-        df.withColumn("_home", home)
-        .withColumn("_chunk", F.explode(F.array_compact(F.array(*copies))))
-        .withColumn("_own", F.col("_chunk") == F.col("_home"))
-        .drop("_home")
+        cut.withColumn("_chunk", number.cast("int"))
+        .withColumn("_long", F.col("_scan_bounds").isNotNull())
+        .drop("_scan_bounds")
     )
 
 
+@dataclass(frozen=True)
+class _Scan:
+    """Rows ready for windows by ``inside``, with what the chunks before and behind tell them."""
+
+    rows: DataFrame
+    inside: WindowSpec
+    cut: bool
+
+    def told(self, inside: Column, across: str) -> Column:
+        return F.coalesce(inside, F.col(across)) if self.cut else inside
+
+    def finished(self, df: DataFrame, keep_chunk: bool, *used: str) -> DataFrame:
+        df = df.drop(*used)
+        if not keep_chunk:
+            return df.drop("_chunk", "_long")
+        return df if self.cut else df.withColumn("_chunk", F.lit(0)).withColumn("_long", F.lit(False))
+
+
+def _scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    rows: int | None,
+    summary: Mapping[str, Column],
+    carry: Mapping[str, Column],
+) -> _Scan:
+    """``summary`` has one row a chunk; ``carry`` is computed over those of a series.
+
+    Rows that have their ``_chunk`` already, from a step before, keep it. Without ``rows`` the
+    series are known to be short.
+    """
+    cut = df if "_chunk" in df.columns else (chunked(df, keys, order, rows) if rows else None)
+    if cut is None:
+        return _Scan(df, Window.partitionBy(*keys).orderBy(*order), False)
+    per_chunk = cut.filter("_long").groupBy(*keys, "_chunk").agg(*[e.alias(n) for n, e in summary.items()])
+    told = per_chunk.select(*keys, "_chunk", *[e.alias(n) for n, e in carry.items()])
+    rows_ = _matched(cut, told, [*keys, "_chunk"], "left")
+    return _Scan(rows_, Window.partitionBy(*keys, "_chunk").orderBy(*order), True)
+
+
+def _series(keys: Sequence[str]):
+    return Window.partitionBy(*keys).orderBy("_chunk")
+
+
 def neighbours(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
     lag: Mapping[str, Column] | None = None,
     lead: Mapping[str, Column] | None = None,
-    retain: Column | None = None,
+    rows: int | None = CHUNK_ROWS,
+    keep_chunk: bool = False,
 ) -> DataFrame:
     """Add the previous row's ``lag`` and the next row's ``lead`` expressions, exactly.
 
-    ``chunk`` must not decrease along ``order``. ``retain`` may name the rows worth keeping,
-    written over the in-chunk results; rows at a chunk border are always kept on top of
-    those, because only the second window knows their neighbours.
+    Rows equal in ``order`` are neighbours in no stated order, and so are with a plain window.
+    ``keep_chunk`` leaves ``_chunk`` and ``_long`` in the result, for a further step in this order.
     """
     lag, lead = dict(lag or {}), dict(lead or {})
     here = F.lit(True).alias("_there")
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    seen = F.struct(here, *[e.alias(n) for n, e in lag.items()])
-    ahead = F.struct(here, *[e.alias(n) for n, e in lead.items()])
-    out = (
-        df.withColumn("_chunk", chunk)
-        .withColumn("_seen", seen)
-        .withColumn("_ahead", ahead)
-        .withColumn("_lag", F.lag("_seen").over(inside))
-        .withColumn("_lead", F.lead("_ahead").over(inside))
-    )
-    out = _named(out, lag, lead)
-    edge = F.col("_lag").isNull() | F.col("_lead").isNull()
-    if retain is not None:
-        out = out.filter(edge | F.coalesce(retain, F.lit(False)))
-    # Edges of a series share one group (NULL), everything else stays with its chunk.
-    out = out.withColumn("_group", F.when(~edge, F.col("_chunk")))
-    across = Window.partitionBy(*keys, "_group").orderBy(*order)
-    out = out.withColumn("_lag", F.coalesce("_lag", F.lag("_seen").over(across))).withColumn(
-        "_lead", F.coalesce("_lead", F.lead("_ahead").over(across))
-    )
-    out = _named(out, lag, lead)
-    return out.drop("_chunk", "_seen", "_ahead", "_lag", "_lead", "_group")
-
-
-def _named(df: DataFrame, lag: Mapping[str, Column], lead: Mapping[str, Column]) -> DataFrame:
-    columns = {n: F.col(f"_lag.{n}") for n in lag} | {n: F.col(f"_lead.{n}") for n in lead}
-    return df.withColumns(columns) if columns else df
+    packed = df.withColumn("_scan_seen", F.struct(here, *[e.alias(n) for n, e in lag.items()]))
+    packed = packed.withColumn("_scan_ahead", F.struct(here, *[e.alias(n) for n, e in lead.items()]))
+    place, series = F.struct(*order), _series(keys)
+    scan = _scan(
+        packed, keys, order, rows,
+        {"_scan_first": F.min_by("_scan_ahead", place), "_scan_last": F.max_by("_scan_seen", place)},
+        {"_scan_before": F.lag("_scan_last").over(series), "_scan_behind": F.lead("_scan_first").over(series)},
+    )
+    before = scan.told(F.lag("_scan_seen").over(scan.inside), "_scan_before")
+    behind = scan.told(F.lead("_scan_ahead").over(scan.inside), "_scan_behind")
+    out = scan.rows.withColumn("_scan_lag", before).withColumn("_scan_lead", behind)
+    named = {n: F.col(f"_scan_lag.{n}") for n in lag} | {n: F.col(f"_scan_lead.{n}") for n in lead}
+    out = out.withColumns(named) if named else out
+    used = ("_scan_seen", "_scan_ahead", "_scan_lag", "_scan_lead", "_scan_before", "_scan_behind")
+    return scan.finished(out, keep_chunk, *used)
+
+
+def running_sum(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str,
+    value: Column,
+    rows: int | None = CHUNK_ROWS,
+) -> DataFrame:
+    """Add the sum of ``value`` over the series up to this row."""
+    before = _series(keys).rowsBetween(Window.unboundedPreceding, -1)
+    scan = _scan(
+        df.withColumn("_scan_value", value), keys, order, rows,
+        {"_scan_total": F.sum("_scan_value")},
+        {"_scan_offset": F.sum("_scan_total").over(before)},
+    )
+    upto = scan.inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum("_scan_value").over(upto)
+    total = total + F.coalesce("_scan_offset", F.lit(0)) if scan.cut else total
+    return scan.finished(scan.rows.withColumn(name, total), False, "_scan_value", "_scan_offset")
 
 
 def running_count(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
     name: str,
     condition: Column | None = None,
+    rows: int | None = CHUNK_ROWS,
 ) -> DataFrame:
-    """Add how many rows (that meet ``condition``) the series holds up to this one.
+    """Add how many rows (that meet ``condition``) the series holds up to this one."""
+    one = F.lit(1) if condition is None else F.when(condition, 1).otherwise(0)
+    return running_sum(df, keys, order, name, one.cast("bigint"), rows)
 
-    Counted within the chunk; the last row of a chunk stands for its total when the totals
-    before it are added up per series; a third window hands the sum to the whole chunk. No
-    join, so whatever made ``df`` runs once.
-    """
-    counted = F.lit(1) if condition is None else F.when(condition, 1).otherwise(0)
-    chunk_rows = Window.partitionBy(*keys, "_chunk")
-    inside = chunk_rows.orderBy(*order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Last rows of a series share one group (NULL), everything else stays with its chunk.
-    earlier = (
-        Window.partitionBy(*keys, "_group")
-        .orderBy("_chunk")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        df.withColumn("_chunk", chunk)
-        .withColumn("_one", counted.cast("bigint"))
-        .withColumn("_count", F.sum("_one").over(upto))
-        .withColumn("_last", F.lead("_one").over(inside).isNull())
-        .withColumn("_group", F.when(~F.col("_last"), F.col("_chunk")))
-        .withColumn("_offset", F.when(F.col("_last"), F.sum("_count").over(earlier)))
-        .withColumn("_offset", F.coalesce(F.max("_offset").over(chunk_rows), F.lit(0)))
-        .withColumn(name, F.col("_count") + F.col("_offset"))
-        .drop("_chunk", "_one", "_count", "_last", "_group", "_offset")
-    )
+
+def last_known(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str,
+    value: Column,
+    rows: int | None = CHUNK_ROWS,
+) -> DataFrame:
+    """Add the last ``value`` of the series up to this row that is not NULL."""
+    before = _series(keys).rowsBetween(Window.unboundedPreceding, -1)
+    known = F.when(F.col("_scan_value").isNotNull(), F.struct(*order))
+    scan = _scan(
+        df.withColumn("_scan_value", value), keys, order, rows,
+        {"_scan_latest": F.max_by("_scan_value", known)},
+        {"_scan_carried": F.last("_scan_latest", ignorenulls=True).over(before)},
+    )
+    upto = scan.inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = scan.told(F.last("_scan_value", ignorenulls=True).over(upto), "_scan_carried")
+    return scan.finished(scan.rows.withColumn(name, latest), False, "_scan_value", "_scan_carried")

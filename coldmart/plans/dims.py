@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coldmart.functions import integer_key
-from coldmart.operators.ordered import HOUR, neighbours, running_count, time_chunk
+from coldmart.operators.ordered import CHUNK_ROWS, chunked, neighbours, running_count
 from coldmart.schemas import BATTERY, CALENDAR, COOLER, conform
 from coldmart.session import staged
 from coldmart.sources.seeds import read_seed
@@ -19,27 +19,25 @@ CALENDAR_START, CALENDAR_END = "2026-01-01", "2027-12-31"
 
 
 def version_changes(
-    observed: DataFrame, key: str, at: str, version: str, chunk_seconds: int = HOUR
+    observed: DataFrame, key: str, at: str, version: str, rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """The rows of ``observed`` that open a version: unlike the one before it in time.
 
     Adds ``version_episode`` (the how-manieth visit to this version) and ``closed_at`` (when
     the next version opened, NULL while current).
     """
-    chunk = time_chunk(F.col(at), chunk_seconds)
     previous = F.col("_previous")
+    order = [at, version]
+    cut = chunked(observed, [key], order, rows)
+    observed, rows = (observed, None) if cut is None else (cut, rows)
+    keep = cut is not None
     opened = neighbours(
-        observed,
-        [key],
-        [at, version],
-        chunk,
-        lag={"_previous": F.col(version)},
-        retain=previous.isNull() | (previous != F.col(version)),
+        observed, [key], order, lag={"_previous": F.col(version)}, rows=rows, keep_chunk=keep
     ).filter(previous.isNull() | (previous != F.col(version)))
     closed = neighbours(
-        opened.drop("_previous"), [key], [at, version], chunk, lead={"closed_at": F.col(at)}
+        opened.drop("_previous"), [key], order, lead={"closed_at": F.col(at)}, rows=rows, keep_chunk=keep
     )
-    return running_count(closed, [key, version], [at], chunk, "version_episode")
+    return running_count(closed, [key, version], [at], "version_episode", rows=rows)
 
 
 def device_versions(handshakes: DataFrame, updates: DataFrame) -> DataFrame:

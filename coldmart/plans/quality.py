@@ -19,7 +19,7 @@ from coldmart.functions import date_key
 from coldmart.functions.time import SLOT_SECONDS
 from coldmart.operators.dedup import copies_disagree
 from coldmart.operators.holds import held_seconds
-from coldmart.operators.ordered import DAY, running_count, time_chunk
+from coldmart.operators.ordered import CHUNK_ROWS, DAY, running_count
 from coldmart.plans.reading import instant
 from coldmart.plans.staging import REPORT_KEYS, complete_reports, is_complete
 
@@ -197,7 +197,7 @@ def not_one_current(devices: DataFrame, device: str = "serial_number") -> DataFr
 
 
 def overlapping_versions(
-    devices: DataFrame, device: str = "serial_number", chunk_seconds: int = DAY
+    devices: DataFrame, device: str = "serial_number", rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """How many pairs of validity windows of one device overlap, without forming a pair.
 
@@ -217,14 +217,8 @@ def overlapping_versions(
     marks = spans.select(
         device, "s", "e", F.explode(F.array_compact(F.array(closing, opening))).alias("m")
     ).select(device, "s", "e", F.col("m.at").alias("at"), F.col("m.opens").alias("opens"))
-    counted = running_count(
-        marks,
-        [device],
-        ["at", "opens", "s", "e"],
-        time_chunk(F.timestamp_micros("at"), chunk_seconds),
-        "closed",
-        F.col("opens") == 0,
-    )
+    order = ["at", "opens", "s", "e"]
+    counted = running_count(marks, [device], order, "closed", F.col("opens") == 0, rows)
     empty = (F.col("s") == F.col("e")).cast("bigint")
     apart = (
         counted.filter(F.col("opens") == 1)

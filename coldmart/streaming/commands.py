@@ -8,9 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coldmart.operators.ordered import HOUR, MICROS, chunk_index, neighbours, time_chunk
+from coldmart.operators.ordered import CHUNK_ROWS, MICROS, chunk_index, neighbours
 from coldmart.plans.reading import instant
-from coldmart.session import staged
 
 # The steps a command goes through, and how long it is waited for.
 STEPS = ("requested", "rejected", "sent", "accepted", "applied", "unconfirmed")
@@ -114,8 +113,6 @@ def verify_applied(
             )
         ),
     )
-    # Commands are few; written, they are known to be, and the reports need not move.
-    filed = staged(filed, "commands-filed")
     seen = reports.select(
         device, F.unix_micros(at).alias("_at"), *[F.col(name).alias(f"_has_{name}") for name in shown]
     ).withColumn("_bucket", chunk_index(F.col("_at"), minute))
@@ -144,7 +141,7 @@ def link_sessions(
     at: str = "ts",
     up: str = "ble_connected",
     down: str = "ble_disconnected",
-    chunk_seconds: int = HOUR,
+    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Spans during which a link was up; one never seen to end has no end.
 
@@ -156,9 +153,8 @@ def link_sessions(
         marks,
         list(keys),
         [at, "kind"],
-        time_chunk(F.col(at), chunk_seconds),
         lead={"_next_kind": F.col("kind"), "_next_at": F.col(at)},
-        retain=F.col("kind") == up,
+        rows=rows,
     ).filter(F.col("kind") == up)
     ended = F.when(F.col("_next_kind") == down, F.col("_next_at"))
     return spans.select(

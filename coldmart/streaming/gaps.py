@@ -11,20 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from coldmart.operators.ordered import HOUR, chunk_index, neighbours, time_chunk
+from coldmart.operators.ordered import CHUNK_ROWS, neighbours
 
 # The functions below run in tasks; sent by value they need no package installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def sequence_gaps(
-    events: DataFrame, scope: Sequence[str] = ("session",), chunk_length: int = 100_000
+    events: DataFrame, scope: Sequence[str] = ("session",), rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Where numbers are missing, and where a reader says that it lost some.
 
     Numbers run within ``scope``. What a reader reports (``dropped``) is one row with its
-    ``count``; the numbers before it are thereby explained and make no gap of their own. Only
-    rows at a jump or a chunk border survive the first window.
+    ``count``; the numbers before it are thereby explained and make no gap of their own.
     """
     previous = F.col("_previous")
     if "count" not in events.columns:
@@ -36,9 +35,8 @@ def sequence_gaps(
             events.select(*scope, "seq", "kind", "count").filter(F.col("seq").isNotNull()),
             list(scope),
             ["seq"],
-            chunk_index(F.col("seq"), chunk_length),
             lag={"_previous": F.col("seq")},
-            retain=jump | dropped,
+            rows=rows,
         )
         .filter(dropped | jump)
         .select(
@@ -90,7 +88,7 @@ def silence_spells(
     device: str = "serial_number",
     at: str = "ts",
     silence: int = 900,
-    chunk_seconds: int = HOUR,
+    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Stretches of at least ``silence`` seconds without a message on a link."""
     gap = F.unix_micros("_next") - F.unix_micros(at)
@@ -100,9 +98,8 @@ def silence_spells(
             messages.select(device, at),
             [device],
             [at],
-            time_chunk(F.col(at), chunk_seconds),
             lead={"_next": F.col(at)},
-            retain=long,
+            rows=rows,
         )
         .filter(long)
         .select(

@@ -168,8 +168,8 @@ def test_episodes_match_the_rules_applied_by_hand_at_any_chunk_length(spark, see
     want = by_hand(rows)
     assert len(want) > 50
     df = fact(spark, [{k: v for k, v in r.items() if k != "key"} for r in rows]).cache()
-    for chunk in (900, 3600, 10**7):
-        got = pulldown_episodes(df, chunk_seconds=chunk).collect()
+    for chunk in (5, 64, 10**7):
+        got = pulldown_episodes(df, rows=chunk).collect()
         found = [
             (r["serial_number"], r["pulldown_key"], r["trigger"], r["update_count"], round(r["covered_seconds"], 6),
              r["outcome"], None if r["ended_at"] is None else int(when(r["ended_at"])))

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from coldmart.operators.asof import asof_version, lookup_or_absent
-from coldmart.operators.ordered import chunk_index, neighbours, running_count
+from coldmart.operators.ordered import chunked, last_known, neighbours, running_count
 from shapes import at
 
 
@@ -24,34 +24,66 @@ def series(spark):
 def test_neighbours_match_a_plain_window(series, length):
     w = Window.partitionBy("k").orderBy("t", "n")
     want = series.select("*", F.lag("n").over(w).alias("before"), F.lead("t").over(w).alias("after"))
-    got = neighbours(
-        series, ["k"], ["t", "n"], chunk_index(F.col("t"), length),
-        lag={"before": F.col("n")}, lead={"after": F.col("t")},
-    )
+    got = neighbours(series, ["k"], ["t", "n"], lag={"before": F.col("n")}, lead={"after": F.col("t")}, rows=length)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
-@pytest.mark.parametrize("length", [5, 80])
-def test_retained_rows_keep_their_true_neighbours(series, length):
-    w = Window.partitionBy("k").orderBy("t", "n")
-    wide = F.col("after") - F.col("t") >= 9
-    want = series.withColumn("after", F.lead("t").over(w)).filter(wide)
-    got = neighbours(
-        series, ["k"], ["t", "n"], chunk_index(F.col("t"), length),
-        lead={"after": F.col("t")}, retain=wide,
-    ).filter(wide)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-
-
 @pytest.mark.parametrize("length", [1, 9, 10_000])
-def test_running_count_matches_a_plain_window(series, length):
+def test_running_sums_match_a_plain_window(series, length):
     w = Window.partitionBy("k").orderBy("t", "n").rowsBetween(Window.unboundedPreceding, 0)
     odd = F.col("n") % 2 == 1
     want = series.select("*", F.count_if(odd).over(w).alias("c"))
-    got = running_count(series, ["k"], ["t", "n"], chunk_index(F.col("t"), length), "c", odd)
+    got = running_count(series, ["k"], ["t", "n"], "c", odd, length)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("length", [1, 6, 10_000])
+def test_last_known_values_match_a_plain_window(series, length):
+    w = Window.partitionBy("k").orderBy("t", "n").rowsBetween(Window.unboundedPreceding, 0)
+    rare = F.when(F.col("n") % 37 == 1, F.col("n"))
+    want = series.select("*", F.last(rare, ignorenulls=True).over(w).alias("v"))
+    got = last_known(series, ["k"], ["t", "n"], "v", rare, length)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_null_keys_and_places_and_empty_tables(spark):
+    rows = [(None, None, 1), (None, 5, 2), ("a", None, 3), ("a", 1, 4), (None, 7, 5)] + [("a", 9, k) for k in range(10, 40)]
+    df = spark.createDataFrame(rows, "k STRING, t BIGINT, n BIGINT")
+    w = Window.partitionBy("k").orderBy("t", "n")
+    want = df.select("*", F.lag("n").over(w).alias("before"))
+    got = neighbours(df, ["k"], ["t", "n"], lag={"before": F.col("n")}, rows=2)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert running_count(df.limit(0), ["k"], ["t"], "c").collect() == []
+
+
+@pytest.mark.parametrize("spread", [3600, 1])
+def test_no_chunk_outgrows_its_bound_in_a_hot_hour_or_a_single_instant(spark, spread):
+    rows, n = 400, 40_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 20 < 19, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 200)).alias("k"),
+        (F.xxhash64("id") % spread).alias("t"),
+        "id",
+    )
+    assert chunked(df, ["k"], ["t", "id"]) is None
+    sizes = chunked(df, ["k"], ["t", "id"], rows).groupBy("k", "_chunk").count().collect()
+    assert sum(r["count"] for r in sizes) == n
+    assert max(r["count"] for r in sizes) <= 3 * rows
+    assert sum(r["k"] == "hot" for r in sizes) >= 0.95 * n / rows / 2
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = df.withColumn("after", F.lead("id").over(w)).agg(F.sum(F.xxhash64("k", "id", "after") % 1000)).first()
+    got = neighbours(df, ["k"], ["t", "id"], lead={"after": F.col("id")}, rows=rows)
+    assert got.agg(F.sum(F.xxhash64("k", "id", "after") % 1000)).first() == want
+
+
+def test_rows_are_shuffled_once(spark, tmp_path):
+    spark.range(5000).selectExpr("id % 3 as k", "id as t", "id as n").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = running_count(df, ["k"], ["t"], "c", rows=500)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(k" in line and "_chunk" in line]
+    # One of all rows for the window; the other is of the chunks' totals.
+    assert len(exchanges) == 2
+
+
 def test_asof_finds_the_valid_version_by_brute_force(spark):
     rng = random.Random(11)
     versions, facts = [], []
@@ -74,8 +106,29 @@ def test_asof_finds_the_valid_version_by_brute_force(spark):
         "k STRING, valid_from TIMESTAMP, valid_to TIMESTAMP, v STRING",
     )
     rows = spark.createDataFrame([(k, t, at(t)) for k, t in facts], "k STRING, t INT, m TIMESTAMP")
-    got = asof_version(rows, dim, "k", F.col("m"), ["v"]).select("k", "t", "v").collect()
-    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    for length in (2, 20, 10**6):
+        got = asof_version(rows, dim, "k", F.col("m"), ["v"], rows=length).select("k", "t", "v").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_asof_of_ten_thousand_versions_in_one_second(spark):
+    micros = F.timestamp_micros
+    versions = spark.range(10_000).select(
+        F.lit("k").alias("k"), micros(F.col("id") * 100).alias("valid_from"),
+        micros(F.when(F.col("id") < 9_999, (F.col("id") + 1) * 100)).alias("valid_to"), F.col("id").alias("v"),
+    )
+    facts = spark.range(30_000).select(F.lit("k").alias("k"), micros(F.col("id") * 40).alias("m"), "id")
+    got = asof_version(facts, versions, "k", F.col("m"), ["v"], rows=1000)
+    wrong = F.col("v") != F.least(F.expr("id * 40 div 100"), F.lit(9_999))
+    assert got.agg(F.count_if(wrong), F.count("v")).first() == (0, 30_000)
+
+
+def test_asof_of_facts_without_key_or_instant(spark):
+    facts = spark.createDataFrame([(None, at(5)), ("a", None), ("a", at(5)), ("a", at(5))], "k STRING, m TIMESTAMP")
+    versions = spark.createDataFrame([(None, at(0), None, 1), ("a", at(0), None, 2)], "k STRING, valid_from TIMESTAMP, valid_to TIMESTAMP, v INT")
+    got = asof_version(facts, versions, "k", F.col("m"), ["v"])
+    assert sorted(((r["k"], r["v"]) for r in got.collect()), key=str) == [("a", 2), ("a", 2), ("a", None), (None, None)]
+    assert asof_version(facts, versions.limit(0), "k", F.col("m"), ["v"]).filter("v is not null").count() == 0
 
 
 def test_lookup_falls_back_to_the_absent_member(spark):
