@@ -11,8 +11,8 @@ The model is fitted by Spark on at most about ``TRAIN_DOCS`` labelled documents
 bound: the model is ``BUCKETS`` numbers a language, which more text hardly changes). They are dealt
 out by label: a label is taken whole up to its share and by a rate of its own beyond, so a rare
 language is learned whatever the size of the others. Which documents of a label, a hash of id and
-text says, so copies of one text do not share one fate; a document delivered twice counts once. Trigram and script counts are summed before they reach the driver. Prediction uses the
-text alone, all of it.
+text says, so copies of one text do not share one fate; a document delivered twice counts once. Trigram and script counts are summed before they reach
+the driver. Prediction uses the text alone, all of it.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0; a text of which no
 learned language uses any script gets the most frequent learned language with score 0; of equally
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from coldmart.llm.hashing import batches_of
 
 TRAIN_DOCS = 20_000
+FEW_LABELS = 10_000  # whose rates are broadcast; more are joined
 LEAST_DOCS = 100  # the share of a label, however many labels there are
 BUCKETS = 1 << 18
 PENALTY = 12.0  # in nats, for each change of language
@@ -136,6 +137,8 @@ def training_rows(
         parts = labelled.sparkSession.createDataFrame(
             [(name, int(_FINE * rate)) for name, rate in rates.items()], "label string, part bigint"
         )
+        # The rates are on the driver already; texts stay where they are until the few are chosen.
+        parts = F.broadcast(parts) if len(rates) <= FEW_LABELS else parts
         labelled = labelled.join(parts, "label").filter(F.pmod("chance", F.lit(_FINE)) < F.col("part"))
     return labelled.dropDuplicates(["label", "chance"]).select("label", "text"), rates
 
