@@ -1,16 +1,18 @@
 from __future__ import annotations
 
+import functools
 import gzip
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from coldmart import schemas
 from coldmart.sources import marts
 from coldmart.streaming import arrivals, commands, gaps
-from coldmart.streaming.throttle import stream_throttle, throttle
+from coldmart.streaming.throttle import NEVER, Outcomes, stream_throttle, throttle
 from shapes import PAYLOAD, at, fact, when
 
 NUMBERED = "session STRING, seq BIGINT, kind STRING, count BIGINT"
@@ -78,20 +80,47 @@ def greedy(times, interval):
     return kept
 
 
-@pytest.mark.parametrize("chunk", [60, 100, 3600, 86400])
-def test_throttling_is_greedy_whatever_the_chunks(spark, chunk):
-    rng = random.Random(chunk)
+@pytest.mark.parametrize("rows, fan", [(12, 3), (60, 64), (10**6, 64)])
+def test_throttling_is_greedy_whatever_the_chunks(spark, rows, fan):
+    rng = random.Random(rows)
     times = {
-        "hot": sorted({rng.randint(0, 6000) for _ in range(900)}),
+        "hot": sorted({rng.randint(0, 3000) for _ in range(500)}),
         "calm": [10, 69, 70, 129, 130, 5000, 5059, 5060],
         "one": [77],
+        None: [5, 70],
     }
     df = spark.createDataFrame([(k, at(t)) for k, ts in times.items() for t in ts], "k STRING, ts TIMESTAMP")
-    out = throttle(df, ["k"], "ts", 60.0, chunk).collect()
+    out = throttle(df, ["k"], "ts", 60.0, rows, fan).collect()
     for key, ts in times.items():
         assert sorted(when(r["ts"]) for r in out if r["k"] == key) == greedy(ts, 60), key
 
 
+def test_many_failures_of_one_instant_let_out_one(spark):
+    df = spark.createDataFrame([("a", at(t), n) for t in (0, 60) for n in range(50)] + [("a", None, 7)], "k STRING, ts TIMESTAMP, n INT")
+    for rows in (5, 10**6):
+        out = throttle(df, ["k"], "ts", 60.0, rows).collect()
+        assert sorted((when(r["ts"]), r["n"]) for r in out) == [(0, 0), (60, 0)]
+    assert throttle(df.limit(0), ["k"], "ts").collect() == []
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_functions_of_chunks_compose(seed):
+    rng = np.random.default_rng(seed)
+    times = np.unique(rng.integers(0, 400, 150))
+    pause = int(rng.integers(1, 60))
+    cuts = np.sort(rng.choice(np.arange(1, len(times)), 6, replace=False))
+    parts = [Outcomes.of(part, pause) for part in np.split(times, cuts)]
+    whole = Outcomes.of(times, pause)
+    left = functools.reduce(lambda a, b: a.then(b, pause), parts)
+    right = functools.reduce(lambda a, b: b.then(a, pause), parts[::-1])
+    for kept in [NEVER, *range(int(times[0]) - 70, int(times[0]))]:
+        want = np.int64(kept)
+        for t in times:
+            want = t if t - want >= pause else want
+        for found in (whole, left, right):
+            assert found.after(np.array([kept]), pause)[0] == want
+
+
 def test_the_stream_throttles_across_batches(spark, tmp_path):
     schema = "k STRING, ts TIMESTAMP, n BIGINT"
     rows = [("a", at(t), t) for t in (0, 30, 59, 60, 100, 121, 200, 240, 260)]
