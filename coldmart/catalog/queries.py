@@ -98,6 +98,14 @@ def _pulldowns(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------- staging
 
 
+@query
+def one_copy_by_row_text(spark, sf):
+    """One order of each customer and priority: the smallest by the default order, a row's own text."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    told = orders.select("o_custkey", "o_orderpriority", "o_orderstatus", "o_orderkey")
+    return plain(one_copy(told, ["o_custkey", "o_orderpriority"]))
+
+
 @query
 def one_copy_reports(spark, sf):
     kept = one_copy(
@@ -154,6 +162,15 @@ def calendar_order_days(spark, sf):
     return plain(dims.calendar_of(days, read_seed(spark, "japanese_holidays")))
 
 
+@query
+def calendar_thirty_years_on(spark, sf):
+    """The span of ``orders`` thirty years later, which has the years whose holidays are known."""
+    moved = F.add_months(F.col("o_orderdate").cast("date"), 360)
+    ends = spark.read.parquet(f"{sf}/orders.parquet").agg(F.min(moved).alias("a"), F.max(moved).alias("b"))
+    days = ends.select(F.explode(F.sequence("a", "b")).alias("date"))
+    return plain(dims.calendar_of(days, read_seed(spark, "japanese_holidays")))
+
+
 # --------------------------------------------------------------------- facts
 
 

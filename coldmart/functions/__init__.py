@@ -2,8 +2,6 @@
 
 from coldmart.functions.keys import integer_key, row_json, string_key
 from coldmart.functions.measures import (
-    first_by,
-    last_by,
     share_of_time,
     watt_hours,
     weighted_mean,
@@ -15,31 +13,23 @@ from coldmart.functions.time import (
     held_until,
     iso_week_key,
     jst_date,
-    jst_midnight,
-    next_morning,
     plus_millis,
     slot_key,
-    slot_start,
     whole_millis_between,
 )
 
 __all__ = [
     "corrected_at",
     "date_key",
-    "first_by",
     "group_start",
     "held_until",
     "integer_key",
     "iso_week_key",
     "jst_date",
-    "jst_midnight",
-    "last_by",
-    "next_morning",
     "plus_millis",
     "row_json",
     "share_of_time",
     "slot_key",
-    "slot_start",
     "string_key",
     "watt_hours",
     "weighted_mean",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,12 +25,3 @@ def share_of_time(condition: Column, weight: Column) -> Column:
         F.sum(F.when(condition, weight).otherwise(zero)).cast("double"),
         F.sum(weight).cast("double"),
     )
-
-
-def first_by(value: Column, order: Sequence[Column]) -> Column:
-    """The value of the earliest row, NULL included (hence the wrapping struct)."""
-    return F.min_by(F.struct(value.alias("v")), F.struct(*order))["v"]
-
-
-def last_by(value: Column, order: Sequence[Column]) -> Column:
-    return F.max_by(F.struct(value.alias("v")), F.struct(*order))["v"]

@@ -37,22 +37,8 @@ def whole_millis_between(start: Column, end: Column) -> Column:
     return F.call_function("div", F.unix_micros(end) - F.unix_micros(start), F.lit(1000))
 
 
-def _floor_seconds(t: Column, span: int) -> Column:
-    # unix_seconds floors towards minus infinity, and so must the division.
-    seconds = F.unix_seconds(t)
-    return seconds - F.pmod(seconds, F.lit(span))
 
 
-def slot_start(t: Column, seconds: int = SLOT_SECONDS) -> Column:
-    return F.timestamp_seconds(_floor_seconds(t, seconds))
-
-
-def jst_midnight(t: Column) -> Column:
-    """The last JST midnight at or before ``t``."""
-    return F.timestamp_seconds(
-        F.unix_seconds(t) - F.pmod(F.unix_seconds(t) + F.lit(JST_OFFSET), F.lit(DAY_SECONDS))
-    )
-
 
 def group_start(t: Column, factor: int | Column, slot_seconds: int = SLOT_SECONDS) -> Column:
     """Start of the clock-aligned group of ``factor`` slots, counted from JST midnight."""
@@ -63,12 +49,6 @@ def group_start(t: Column, factor: int | Column, slot_seconds: int = SLOT_SECOND
     )
 
 
-def next_morning(t: Column, hour: int = 7) -> Column:
-    """The first ``hour``:00 JST strictly after ``t``."""
-    shift = JST_OFFSET - hour * 3600
-    past = F.pmod(F.unix_seconds(t) + F.lit(shift), F.lit(DAY_SECONDS))
-    return F.timestamp_seconds(F.unix_seconds(t) - past + F.lit(DAY_SECONDS))
-
 
 def _local(t: Column) -> Column:
     return F.from_utc_timestamp(t, JST)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coldmart.functions import date_key, first_by, jst_date, last_by, slot_key
+from coldmart.functions import date_key, jst_date, slot_key
 from coldmart.functions.measures import share_of_time, weighted_mean
 from coldmart.functions.time import SLOT_SECONDS, jst_hour, jst_minute
 from coldmart.operators.ordered import MICROS
@@ -180,4 +180,4 @@ def observed_span(fact: DataFrame, device: str = "serial_number") -> DataFrame:
     )
 
 
-__all__ = ["allocate", "first_by", "last_by", "observed_span", "slot_aggregate", "slot_snapshot"]
+__all__ = ["allocate", "observed_span", "slot_aggregate", "slot_snapshot"]

@@ -21,7 +21,7 @@ from coldmart.operators.dedup import copies_disagree
 from coldmart.operators.holds import held_seconds
 from coldmart.operators.ordered import CHUNK_ROWS, DAY, running_count
 from coldmart.plans.reading import instant
-from coldmart.plans.staging import REPORT_KEYS, complete_reports, is_complete
+from coldmart.plans.staging import REPORT_KEYS, complete_reports
 
 Tables = Mapping[str, DataFrame]
 
@@ -485,7 +485,6 @@ __all__ = [
     "RowRule",
     "evaluate",
     "freshness",
-    "is_complete",
     "report",
     "schema_violations",
     "violations",
