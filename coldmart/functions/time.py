@@ -37,9 +37,6 @@ def whole_millis_between(start: Column, end: Column) -> Column:
     return F.call_function("div", F.unix_micros(end) - F.unix_micros(start), F.lit(1000))
 
 
-
-
-
 def group_start(t: Column, factor: int | Column, slot_seconds: int = SLOT_SECONDS) -> Column:
     """Start of the clock-aligned group of ``factor`` slots, counted from JST midnight."""
     span = (factor if isinstance(factor, Column) else F.lit(factor)) * F.lit(slot_seconds)
@@ -49,7 +46,6 @@ def group_start(t: Column, factor: int | Column, slot_seconds: int = SLOT_SECOND
     )
 
 
-
 def _local(t: Column) -> Column:
     return F.from_utc_timestamp(t, JST)
 
