@@ -649,6 +649,15 @@ def silence_spells(spark, sf):
     return plain(gaps.silence_spells(links))
 
 
+@query
+def silent_links(spark, sf):
+    """Connected links without a message for a quarter of an hour, as of the end of January."""
+    base = A.events(spark, sf)
+    said = A.link_events(base).select("serial_number", F.timestamp_micros("ts_us").alias("ts"), "kind")
+    marks = said.unionByName(A.link_states(base))
+    return plain(gaps.silent_links(marks, until=dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)))
+
+
 @query
 def sequence_gaps(spark, sf):
     return plain(gaps.sequence_gaps(A.numbered_events(A.events(spark, sf))))

@@ -20,6 +20,9 @@ RUNTIME = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Read splits no larger than one task's memory share, whatever the file sizes.
     "spark.sql.files.maxPartitionBytes": "128m",
+    # Stream state with timers lives in RocksDB, outside the heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -49,9 +49,118 @@ def test_jumps_in_the_numbering_are_rows_and_losses_are_not_jumps(spark, chunk):
     assert set(map(tuple, out.collect())) == FOUND
 
 
-def test_the_stream_finds_the_same_jumps(spark, tmp_path):
-    out = streamed(spark, tmp_path, [ROWS[:1], ROWS[1:4], ROWS[4:]], NUMBERED, gaps.stream_sequence_gaps, "gap_rows")
-    assert {tuple(None if v != v else v for v in r) for r in out} == FOUND
+TIMED = NUMBERED + ", ts TIMESTAMP"
+
+
+def numbered(scope, *rows):
+    return [(scope, seq, "message", None, at(t)) for seq, t in rows]
+
+
+# Rows in the order of their arrival, and between which numbers the gaps are.
+NUMBERINGS = {
+    "in order": ([(1, 0), (2, 1), (5, 2), (6, 3)], {(3, 5)}),
+    "out of order": ([(1, 0), (4, 3), (3, 2), (2, 1)], set()),
+    "delivered twice": ([(1, 0), (2, 1), (2, 1), (3, 2)], set()),
+    "in order by number, not by time": ([(3, 0), (2, 1), (1, 2), (4, 3)], set()),
+}
+LATE_NUMBERS = [[(1, 0), (3, 2)], [(4, 100)], [(5, 101)], [(6, 102)], [(2, 1)]]  # 2 comes too late
+CLOCK = [[("clock", n, "message", None, at(9000 + 20 * n))] for n in range(2)]
+
+
+def test_batch_and_stream_find_the_same_jumps(spark, tmp_path):
+    rows = [r for case, (told, _) in NUMBERINGS.items() for r in numbered(case, *told)]
+    whole = spark.createDataFrame(rows, TIMED).dropDuplicates()
+    found = {(case, *gap) for case, (_, gaps_) in NUMBERINGS.items() for gap in gaps_}
+    assert {(r["session"], r["expected"], r["received"]) for r in gaps.sequence_gaps(whole).collect()} == found
+    out = streamed(
+        spark, tmp_path, [rows[::2], rows[1::2], *CLOCK], TIMED,
+        lambda df: gaps.stream_sequence_gaps(df, lateness="10 seconds"), "gaps_in_time",
+    )
+    assert {(r["session"], r["expected"], r["received"]) for r in out} == found
+
+
+def test_a_number_that_comes_too_late_does_not_mend_its_gap(spark, tmp_path):
+    batches = [numbered("s", *told) for told in LATE_NUMBERS]
+    out = streamed(
+        spark, tmp_path, [*batches, *CLOCK], TIMED,
+        lambda df: gaps.stream_sequence_gaps(df, lateness="10 seconds"), "gaps_late",
+    )
+    in_time = spark.createDataFrame([r for b in batches[:-1] for r in b], TIMED)
+    assert [(r["expected"], r["received"]) for r in gaps.sequence_gaps(in_time).collect()] == [(2, 3)]
+    assert [(r["expected"], r["received"]) for r in out] == [(2, 3)]
+
+
+def test_the_stream_reports_losses_and_forgets_a_numbering_not_heard_of(spark, tmp_path):
+    rows = [(*r, at(n)) for n, r in enumerate(ROWS)]
+    again = [("s", 90, "message", None, at(9000)), ("s", 92, "message", None, at(9001))]
+    clock = [[("clock", n, "message", None, at(20000 + 20 * n))] for n in range(2)]
+    out = streamed(
+        spark, tmp_path, [rows[:1], rows[1:4], rows[4:], [("clock", 0, "message", None, at(8000))], [("clock", 1, "message", None, at(8020))], again, *clock],
+        TIMED, lambda df: gaps.stream_sequence_gaps(df, lateness="10 seconds", idle=600), "gap_rows",
+    )
+    # From 42 to 90 is no gap: the numbering was forgotten in between.
+    assert {tuple(None if v != v else v for v in r) for r in out} == FOUND | {("s", "gateway_gap", 91, 92, None)}
+
+
+LINKED = "serial_number STRING, kind STRING, ts TIMESTAMP"
+KINDS = {"up": "ble_connected", "down": "ble_disconnected", "m": "message", "x": "ble_negotiated"}
+
+
+def linked(device, *marks):
+    return [(device, KINDS[kind], at(t)) for kind, t in marks]
+
+
+# What is said about a link, in the order of its arrival, and (connected, silent from).
+LINKS = {
+    "a message comes after 900 seconds": ([("up", 0), ("m", 100), ("m", 1000)], {(0, 100)}),
+    "a message comes just in time": ([("up", 0), ("m", 100), ("m", 999.999999), ("down", 1500)], set()),
+    "silent from the connection on": ([("up", 0), ("down", 900)], {(0, 0)}),
+    "not connected": ([("m", 0), ("m", 5000), ("up", 9000), ("down", 9100)], set()),
+    "other events are no sign of life": ([("up", 0), ("x", 800), ("x", 1600), ("m", 1700), ("down", 1800)], {(0, 0)}),
+    "silence ends the session": ([("up", 0), ("m", 1000), ("m", 5000), ("down", 6000)], {(0, 0)}),
+    "a new connection is a new session": ([("up", 0), ("up", 2000), ("m", 4000)], {(0, 0), (2000, 2000)}),
+    "down and up in one instant": ([("up", 0), ("m", 500), ("up", 600), ("down", 600), ("m", 1400), ("down", 1500)], set()),
+    "still silent": ([("up", 0), ("m", 50)], {(0, 50)}),
+    "out of order": ([("m", 1200), ("up", 0), ("m", 1195), ("down", 1300)], {(0, 0)}),
+}
+LATE_LINK = [[("up", 0)], [("m", 890)], [("m", 2001)], [("m", 2002)], [("m", 2003)], [("m", 1700)]]  # 1700 comes too late
+LINK_CLOCK = [[("clock", "message", at(20010 + 20 * n))] for n in range(2)]
+
+
+def silent(rows):
+    assert all(when(r["silent_at"]) == when(r["silent_from"]) + 900 for r in rows)
+    return {(r["serial_number"], when(r["connected_at"]), when(r["silent_from"])) for r in rows}
+
+
+def test_batch_and_stream_find_the_same_silent_links(spark, tmp_path):
+    rows = [r for case, (told, _) in LINKS.items() for r in linked(case, *told)]
+    found = {(case, *spell) for case, (_, spells) in LINKS.items() for spell in spells}
+    for chunk in (1, 2, 10**6):
+        out = gaps.silent_links(spark.createDataFrame(rows, LINKED), until=at(20000), rows=chunk)
+        assert silent(out.collect()) == found
+    out = streamed(
+        spark, tmp_path, [rows[1::2] + rows[::2], *LINK_CLOCK], LINKED,
+        lambda df: gaps.stream_silent_links(df, lateness="10 seconds"), "links_in_time",
+    )
+    assert silent(out) == found
+
+
+def test_a_message_that_comes_too_late_does_not_end_a_silence(spark, tmp_path):
+    batches = [linked("D", *told) for told in LATE_LINK]
+    out = streamed(
+        spark, tmp_path, [*batches, *LINK_CLOCK], LINKED,
+        lambda df: gaps.stream_silent_links(df, lateness="10 seconds"), "links_late",
+    )
+    in_time = spark.createDataFrame([r for b in batches[:-1] for r in b], LINKED)
+    assert silent(gaps.silent_links(in_time, until=at(20000)).collect()) == silent(out) == {("D", 0, 890)}
+
+
+def test_links_without_events_or_instants_are_not_silent(spark):
+    empty = spark.createDataFrame([], LINKED)
+    assert gaps.silent_links(empty).count() == 0 and gaps.silent_links(empty, until=at(5)).count() == 0
+    rows = [("D", KINDS["up"], None), (None, KINDS["up"], at(0)), (None, None, at(5)), (None, "message", at(1000))]
+    out = gaps.silent_links(spark.createDataFrame(rows, LINKED)).collect()
+    assert [(r["serial_number"], when(r["silent_from"])) for r in out] == [(None, 0)]
 
 
 def test_silence_is_counted_from_a_quarter_of_an_hour(spark):
