@@ -582,6 +582,14 @@ def quality_report_broken(spark, sf):
     return quality.violations(_damaged(spark, sf), NOW)
 
 
+@query
+def rule_results(spark, sf):
+    """A run of the rules over the damaged star without its batteries: counts, and the rule that crashed."""
+    tables = _damaged(spark, sf)
+    del tables["dim_battery"]
+    return quality.evaluate(spark, tables, NOW)
+
+
 @query
 def column_rules_broken(spark, sf):
     """Required, unique and enumerated columns of the damaged marts; types are left to tests."""

@@ -7,6 +7,7 @@ need more than a row (uniqueness, neighbours, other tables) are queries of their
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
@@ -430,37 +431,94 @@ def freshness(df: DataFrame, at: str, now: dt.datetime) -> DataFrame:
 RESULT = "contract STRING, table STRING, rule STRING, violations BIGINT, error STRING"
 
 
+@dataclass(frozen=True)
+class _Asked:
+    """One plan and the names of the rules whose counts are its rows."""
+
+    names: tuple[tuple[str, str, str], ...]
+    plan: Callable[[], DataFrame]
+
+
+def _asked(tables: Tables, now: dt.datetime | None, contract: str | None) -> list[_Asked]:
+    """A plan per table for the rules about its rows, and one per rule beyond rows."""
+    rows = [r for r in row_rules() if contract is None or r.contract == contract]
+    out = []
+    for table in dict.fromkeys(r.table for r in rows):
+        mine = [r for r in rows if r.table == table]
+        out.append(
+            _Asked(
+                tuple((r.contract, r.table, r.name) for r in mine),
+                lambda mine=mine, table=table: _row_counts(mine, tables[table]).drop("dimension"),
+            )
+        )
+    for rule in query_rules(now):
+        if contract is None or rule.contract == contract:
+            name = (rule.contract, rule.table, rule.name)
+            out.append(_Asked((name,), lambda rule=rule, name=name: _named(rule.count(tables), name)))
+    return out
+
+
+def _named(counted: DataFrame, name: tuple[str, str, str]) -> DataFrame:
+    return counted.select(
+        *[F.lit(v).alias(c) for c, v in zip(("contract", "table", "rule"), name)],
+        F.col("violations").cast("bigint").alias("violations"),
+    )
+
+
+def _alone(asked: _Asked, tables: Tables) -> list[_Asked]:
+    """The rules of a plan that broke, each with a plan of its own."""
+    by_name = {(r.contract, r.table, r.name): r for r in row_rules()}
+    return [
+        _Asked((name,), lambda name=name: _row_counts([by_name[name]], tables[name[1]]).drop("dimension"))
+        for name in asked.names
+    ]
+
+
 def evaluate(
     spark: SparkSession,
     tables: Tables,
     now: dt.datetime | None = None,
     contract: str | None = None,
 ) -> DataFrame:
-    """Run every rule on its own; one that crashes is a finding, not the end of the run."""
-    asked = [r for r in row_rules() if contract is None or r.contract == contract]
-    plans: list[tuple[str, str, str, Callable[[], DataFrame]]] = []
-    results: list[tuple] = []
-    for table in dict.fromkeys(r.table for r in asked):
-        rules = [r for r in asked if r.table == table]
-        try:  # all rules about rows of a table in one scan; one by one only if that breaks
-            counted = _row_counts(rules, tables[table]).collect()  # a row a rule
-            results += [(r["contract"], table, r["rule"], r["violations"], None) for r in counted]
-        except Exception:  # noqa: BLE001 - which rule it was shows below
-            plans += [
-                (r.contract, table, r.name, lambda r=r: _row_counts([r], tables[r.table])) for r in rules
-            ]
-    plans += [
-        (r.contract, r.table, r.name, lambda r=r: r.count(tables))
-        for r in query_rules(now)
-        if contract is None or r.contract == contract
-    ]
-    for owner, table, name, plan in plans:
+    """All rules in one job; one that crashes is a finding, not the end of the run.
+
+    A rule that cannot even be planned costs no job. A job that breaks is halved until the plans
+    that broke it stand alone. Rows in the order of the rules.
+    """
+    asked = _asked(tables, now, contract)
+    order = [name for a in asked for name in a.names]
+    results: dict[tuple, tuple] = {}
+
+    def failed(one: _Asked, exc: Exception) -> None:
+        if len(one.names) > 1:
+            run(planned(_alone(one, tables)))
+        else:
+            results[one.names[0]] = (None, f"{type(exc).__name__}: {exc}")
+
+    def planned(part: list[_Asked]) -> list[tuple[_Asked, DataFrame]]:
+        sound = []
+        for one in part:
+            try:
+                sound.append((one, one.plan()))
+            except Exception as exc:  # noqa: BLE001 - whatever broke it, it is the rule's result
+                failed(one, exc)
+        return sound
+
+    def run(part: list[tuple[_Asked, DataFrame]]) -> None:
+        if not part:
+            return
         try:
-            counted = plan().select(F.col("violations").cast("bigint")).first()[0]  # one number
-            results.append((owner, table, name, counted, None))
-        except Exception as exc:  # noqa: BLE001 - whatever broke it, it is the rule's result
-            results.append((owner, table, name, None, f"{type(exc).__name__}: {exc}"))
-    return spark.createDataFrame(results, RESULT)
+            union = functools.reduce(DataFrame.unionByName, [plan for _, plan in part])
+            results.update({tuple(r)[:3]: (r["violations"], None) for r in union.collect()})  # a row a rule
+        except Exception as exc:  # noqa: BLE001 - the halves tell which rule it was
+            if len(part) > 1:
+                run(part[: len(part) // 2])
+                run(part[len(part) // 2 :])
+            else:
+                failed(part[0][0], exc)
+
+    run(planned(asked))
+    return spark.createDataFrame([(*name, *results[name]) for name in order], RESULT)
 
 
 def report(results: DataFrame, narrowed: bool = False) -> DataFrame:

@@ -141,6 +141,26 @@ def test_a_rule_that_crashes_is_a_finding(spark):
     assert clean["passed"] and not clean["all_clear"]
 
 
+def test_a_sound_run_is_one_job_and_a_rule_that_breaks_in_it_is_found(spark, monkeypatch):
+    tables = {"raw_cooler": raw(spark, [dict(uptime_seconds=1.0, frames=[])]), "raw_events": frame(spark, schemas.RAW_EVENTS, [])}
+    kind = type(tables["raw_cooler"])
+    collected, collect = [], kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: collected.append(1) or collect(df))
+    rules = quality.evaluate(spark, tables, NOW, "collection")
+    assert len(collected) == 1
+    monkeypatch.undo()
+    rows = {r["rule"]: (r["violations"], r["error"]) for r in rules.collect()}
+    assert rows["frames_present"] == (1, None) and rows["repeated_events_agree"] == (0, None)
+    # One column of the table cannot be computed: the rules that need it break, the others count.
+    broken = F.when(F.col("uptime_seconds") > 0, F.raise_error(F.lit("torn page")).cast("string")).otherwise(F.col("plain"))
+    tables["raw_cooler"] = tables["raw_cooler"].withColumn("plain", broken)
+    found = {r["rule"]: r for r in quality.evaluate(spark, tables, NOW, "collection").collect()}
+    assert list(found) == list(rows)
+    assert found["frames_present"]["violations"] == 1 and found["repeated_events_agree"]["violations"] == 0
+    assert "torn page" in found["payload_only_with_plain"]["error"]
+    assert found["payload_only_with_plain"]["violations"] is None
+
+
 def test_declared_columns_are_checked(spark):
     df = fact(spark, [dict(t=1, battery_state="melted"), dict(t=2, state_update_key="k0000", cooler_key=None)])
     df = df.withColumn("uptime_seconds", F.col("uptime_seconds").cast("string"))
