@@ -346,3 +346,34 @@ def test_arrivals_are_built_once_and_a_failed_build_is_repeated(spark, tmp_path)
     assert sorted(r["state_of_charge_percent"] for r in rows) == [88, 89, 90]
     sent = spark.read.schema(schemas.SIGNAL).parquet(places["signals"]).orderBy("run_id").collect()
     assert [(r["rows_arrived"], r["build_passed"]) for r in sent] == [(3, True), (2, True)]
+    refused = arrivals.rejected_lines(spark, places["raw"]).collect()
+    assert {(r["table"], r["value"], r["reason"]) for r in refused} >= {("raw_cooler", "torn {", "torn"), ("raw_cooler", "", "empty")}
+
+
+def test_a_raw_table_that_was_replaced_by_a_smaller_one_is_built_anew(spark, tmp_path):
+    landing, raw = tmp_path / "landing", tmp_path / "raw"
+    places = dict(landing=str(landing), raw=str(raw), marts=str(tmp_path / "star"), signals=str(tmp_path / "signals"),
+                  checkpoint=str(tmp_path / "mark"))
+    seen = []
+
+    def build(cooler, events, root):
+        seen.append((cooler.count(), events.count()))
+
+    def rebuilt():
+        return arrivals.run_due(spark, build=build, **places)
+
+    (landing / "v1").mkdir(parents=True)
+    assert rebuilt() == 0  # nothing ever landed
+    deliver(landing, "000", [line(0), line(1), line(2)])
+    deliver(landing, "001", [line(3)])
+    assert (rebuilt(), seen) == (1, [(4, 0)])
+    assert arrivals.due(spark, str(raw)) == ([("raw_cooler", 4, 0), ("raw_events", 0, 0)], 1)
+    batch = next((raw / "raw_cooler").glob("_batch=*"))
+    spark.read.parquet(str(batch)).limit(3).write.partitionBy("_ingest_date").parquet(str(tmp_path / "less"))
+    spark.read.parquet(str(tmp_path / "less")).write.mode("overwrite").partitionBy("_ingest_date").parquet(str(batch))
+    # All three are new, although the mark is above them; afterwards the mark stands at three.
+    assert (rebuilt(), rebuilt(), seen[1:]) == (1, 0, [(3, 0)])
+    deliver(landing, "002", [line(4)])
+    assert (rebuilt(), seen[2:]) == (1, [(4, 0)])
+    sent = spark.read.schema(schemas.SIGNAL).parquet(places["signals"]).orderBy("run_id").collect()
+    assert [(r["run_id"], r["rows_arrived"]) for r in sent] == [("mark-0", 4), ("mark-1", 3), ("mark-2", 1)]
