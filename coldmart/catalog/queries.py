@@ -10,6 +10,8 @@ at the seventh: one decimal less would round ties, which the engines settle diff
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 
 from coldmart.catalog import adapters as A
 from coldmart.catalog.messages import messages
-from coldmart.catalog.star import star
+from coldmart.catalog.star import CALENDAR_SPAN, star
 from coldmart.functions import iso_week_key
 from coldmart.operators import folding
 from coldmart.operators.asof import asof_version
@@ -28,8 +30,9 @@ from coldmart.operators.episodes import pulldown_episodes
 from coldmart.operators.slots import allocate, observed_span, slot_snapshot
 from coldmart.operators.wire import audit_frames, backfill_payload, explode_tlv
 from coldmart.plans import dims, facts, outlook, quality, reading, staging
-from coldmart.plans.build import staged_reports
-from coldmart.session import tune
+from coldmart.plans.build import build_all, rebuild_devices, staged_reports
+from coldmart.schemas import SIGNAL
+from coldmart.session import shared_folder, tune
 from coldmart.sources import chunks, gateway, signals
 from coldmart.sources.seeds import UNITS, read_seed
 from coldmart.streaming import arrivals, commands, gaps
@@ -178,13 +181,29 @@ def calendar_thirty_years_on(spark, sf):
 def state_update_fact(spark, sf):
     updates, shaken = staged_reports(*_raw(spark, sf), A.REPORT_ORDER, A.HANDSHAKE_ORDER)
     devices, batteries = dims.device_versions(shaken, updates), dims.battery_dim(updates)
-    fact = facts.state_update_fact(updates, devices, batteries)
+    return _fact_rows(facts.state_update_fact(updates, devices, batteries))
+
+
+def _fact_rows(fact: DataFrame) -> DataFrame:
     return plain(
         fact.drop("display_unit", "protection_level", "brightness", "ambient_humidity_percent"),
         ["ambient_temperature_celsius"],
     )
 
 
+@query
+def rebuilt_devices(spark, sf):
+    """The fact after half of one device's records came late and that device alone was rebuilt."""
+    cooler, events = _raw(spark, sf)
+    mine, late = F.col("boot_id").startswith("COOLER-1/"), F.col("ts") >= F.lit(START)
+    root = f"{shared_folder(spark)}/coldmart/rebuilt-{uuid.uuid4().hex}"
+    options = (A.REPORT_ORDER, A.HANDSHAKE_ORDER)
+    build_all(cooler.filter(~(mine & late)), events.filter(~(mine & late)), root, CALENDAR_SPAN, *options)
+    changed = spark.createDataFrame([("COOLER-1",)], "serial_number STRING")
+    tables = rebuild_devices(cooler.filter(mine), events.filter(mine), changed, root, *options, CALENDAR_SPAN)
+    return _fact_rows(tables["fact_cooler_state_update"])
+
+
 @query
 def star_enrichment(spark, sf):
     """Energy by firmware, battery presence and kind of day, over the whole star."""
@@ -767,6 +786,56 @@ def failed_quality_reports(spark, sf):
     )
 
 
+@query
+def raw_round_trip(spark, sf):
+    """Records routed to chunks by type and day, read back, appended to an emptied raw table in two parts.
+
+    Sensor failures are of a type that is not shipped; they come back from the router.
+    """
+    cooler, events = _raw(spark, sf)
+    unshipped = F.col("kind") == "environment_read_failed"
+
+    def told():
+        yield from ("boot_id", "uptime_seconds", "ts", "ts_synced", "kind")
+        for name in ("state_of_charge_percent", "battery_state", "battery_serial_number"):
+            yield F.col(f"payload.{name}").alias(name)
+        yield F.col("environment.temperature_celsius").alias("ambient_temperature_celsius")
+
+    typed = events.withColumn("type", F.when(unshipped, "ambient").otherwise("event"))
+    root = f"{shared_folder(spark)}/coldmart/trip-{uuid.uuid4().hex}"
+    left = chunks.route_records(cooler.unionByName(typed, allowMissingColumns=True), root)
+    parts = [left.select(F.lit("left").alias("place"), *told(), F.lit(None).cast("date").alias("landed"))]
+    first, second = dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc), dt.datetime(2024, 3, 2, tzinfo=dt.timezone.utc)
+    shape = left.select("kind", "payload", "environment").limit(0)  # columns that one of the tables lacks
+    for stream, table in arrivals.TABLE_OF_STREAM.items():
+        path = f"{root}/{table}"
+        chunks.reset_raw(spark, path, table)
+        read = chunks.read_raw(spark, root, stream)
+        early = F.col("dt") < F.lit(START).cast("date")
+        chunks.append_raw(read.filter(early).drop("dt"), path, F.lit(first))
+        chunks.append_raw(read.filter(~early).drop("dt"), path, F.lit(second))
+        landed = chunks.read_table(spark, path, table)
+        landed = landed.unionByName(shape, allowMissingColumns=True)
+        parts.append(landed.select(F.lit(table).alias("place"), *told(), F.col("_ingest_date").alias("landed")))
+    return plain(functools.reduce(DataFrame.unionByName, parts))
+
+
+@query
+def signals_emitted(spark, sf):
+    """A build's signal and, of each day as its own contract, a report on its events; as they were written."""
+    base = A.events(spark, sf)
+    path = f"{shared_folder(spark)}/coldmart/signals-{uuid.uuid4().hex}"
+    day = F.to_date(F.timestamp_micros("us")).cast("string")
+    results = base.groupBy(day.alias("contract"), F.col("event_type").alias("rule")).agg(
+        F.count_if(F.col("k") < 2).alias("violations")
+    )
+    results = results.withColumn("table", F.lit("events")).withColumn("error", F.lit(None).cast("string"))
+    signals.emit_build_signal(spark, path, "run-1", base.count(), NOW)
+    signals.emit_quality_report(quality.report(results), path, "run-1", NOW)
+    sent = spark.read.schema(SIGNAL).parquet(path)
+    return plain(sent.withColumn("failed_checks", F.array_join("failed_checks", ",")))
+
+
 @query
 def readable_lines(spark, sf):
     """Chunk lines that are one JSON object each, and why the others are not."""
