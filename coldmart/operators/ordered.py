@@ -14,10 +14,14 @@ its reports may lie within an hour. Everything here cuts a series by its number
 
 The last three are scans in two levels: a window within each chunk, for which every row is
 shuffled once, and a window over one row a chunk (of long series only) that is joined back. A
-chunk holds about ``CHUNK_ROWS`` rows, so that second window sees a millionth of a series.
+chunk holds about ``CHUNK_ROWS`` rows, so that second window sees a 262,144th of a series.
+
+Boundaries and what chunks tell each other are broadcast: there is at most one of them to
+``CHUNK_ROWS`` rows. Joined by a shuffle they would bring a series into one task after all.
 
 Whether any series is long is asked of the sample when a scan is set up, one pass over keys and
-order. Where none is, as with most fleets, the plan is the plain window and no more.
+order whose boundaries are written once. Where none is, as with most fleets, the plan is the
+plain window and no more.
 """
 
 from __future__ import annotations
@@ -31,11 +35,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from coldmart.session import staged
+
 HOUR = 3600
 DAY = 86400
 MICROS = 1_000_000
 
-CHUNK_ROWS = 1 << 20
+CHUNK_ROWS = 1 << 18
 SAMPLES = 32  # rows sampled for each chunk; their number varies by about a sixth
 
 
@@ -45,22 +51,32 @@ def chunk_index(at: Column, length: int) -> Column:
 
 
 def _matched(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join on ``keys``, NULL equal to NULL; only the other columns of ``other`` are added."""
-    renamed = other.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    """Join on ``keys``, NULL equal to NULL; only the other columns of the small ``other`` are added."""
+    renamed = F.broadcast(other.withColumnsRenamed({k: f"_of_{k}" for k in keys}))
     on = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
     return df.join(renamed, on, how).drop(*[f"_of_{k}" for k in keys])
 
 
+def _sample(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int) -> DataFrame:
+    """``SAMPLES`` rows of every ``rows``; of rows equal in keys and order all or none."""
+    chosen = F.pmod(F.xxhash64(*keys, *order), F.lit(rows // min(SAMPLES, rows))) == 0
+    return df.select(*keys, F.struct(*order).alias("_scan_place")).filter(chosen)
+
+
 def boundaries(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = CHUNK_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    rows: int = CHUNK_ROWS,
+    repeated: bool = False,
 ) -> DataFrame:
     """For each series of more than about ``rows`` rows where its chunks begin, in ``_bounds``.
 
-    An array of one place for each chunk but the first.
+    An array of one place for each chunk but the first. ``repeated`` rows count once.
     """
+    sample = _sample(df, keys, order, rows)
+    sample = sample.distinct() if repeated else sample
     each = min(SAMPLES, rows)
-    chosen = F.pmod(F.xxhash64(*keys, *order), F.lit(rows // each)) == 0
-    sample = df.select(*keys, F.struct(*order).alias("_scan_place")).filter(chosen)
     places = F.sort_array(F.collect_list("_scan_place"))
     bounds = F.filter(places, lambda _, i: F.pmod(i + 1, F.lit(each)) == 0)
     return sample.groupBy(*keys).agg(bounds.alias("_scan_bounds")).filter(F.size("_scan_bounds") > 0)
@@ -78,13 +94,19 @@ def _begun(bounds: Column, place: Column) -> Column:
 
 
 def chunked(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = CHUNK_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    rows: int = CHUNK_ROWS,
+    copies: DataFrame | None = None,
 ) -> DataFrame | None:
     """``df`` with ``_chunk``, which never falls along ``order``, and ``_long``: there are others.
 
-    Nothing, if no series is long.
+    Nothing, if no series is long. ``copies`` holds the rows of ``df``, each any number of times,
+    and is asked for the boundaries instead where ``df`` is dear to compute.
     """
-    bounds = boundaries(df, keys, order, rows)
+    asked = df if copies is None else copies
+    bounds = staged(boundaries(asked, keys, order, rows, copies is not None), "bounds")
     if bounds.isEmpty():
         return None
     cut = _matched(df, bounds, keys, "left")
@@ -122,13 +144,14 @@ def _scan(
     rows: int | None,
     summary: Mapping[str, Column],
     carry: Mapping[str, Column],
+    copies: DataFrame | None = None,
 ) -> _Scan:
     """``summary`` has one row a chunk; ``carry`` is computed over those of a series.
 
     Rows that have their ``_chunk`` already, from a step before, keep it. Without ``rows`` the
     series are known to be short.
     """
-    cut = df if "_chunk" in df.columns else (chunked(df, keys, order, rows) if rows else None)
+    cut = df if "_chunk" in df.columns else (chunked(df, keys, order, rows, copies) if rows else None)
     if cut is None:
         return _Scan(df, Window.partitionBy(*keys).orderBy(*order), False)
     per_chunk = cut.filter("_long").groupBy(*keys, "_chunk").agg(*[e.alias(n) for n, e in summary.items()])
@@ -149,11 +172,13 @@ def neighbours(
     lead: Mapping[str, Column] | None = None,
     rows: int | None = CHUNK_ROWS,
     keep_chunk: bool = False,
+    copies: DataFrame | None = None,
 ) -> DataFrame:
     """Add the previous row's ``lag`` and the next row's ``lead`` expressions, exactly.
 
     Rows equal in ``order`` are neighbours in no stated order, and so are with a plain window.
-    ``keep_chunk`` leaves ``_chunk`` and ``_long`` in the result, for a further step in this order.
+    ``keep_chunk`` leaves ``_chunk`` and ``_long`` in the result, for a further step in this order;
+    ``copies`` is that of ``chunked``.
     """
     lag, lead = dict(lag or {}), dict(lead or {})
     here = F.lit(True).alias("_there")
@@ -164,6 +189,7 @@ def neighbours(
         packed, keys, order, rows,
         {"_scan_first": F.min_by("_scan_ahead", place), "_scan_last": F.max_by("_scan_seen", place)},
         {"_scan_before": F.lag("_scan_last").over(series), "_scan_behind": F.lead("_scan_first").over(series)},
+        copies,
     )
     before = scan.told(F.lag("_scan_seen").over(scan.inside), "_scan_before")
     behind = scan.told(F.lead("_scan_ahead").over(scan.inside), "_scan_behind")

@@ -84,6 +84,35 @@ def test_rows_are_shuffled_once(spark, tmp_path):
     assert len(exchanges) == 2
 
 
+def test_no_join_gathers_a_series_by_its_key(spark, tmp_path):
+    spark.range(5000).selectExpr("id % 3 as k", "id as t", "id as n").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = neighbours(df, ["k"], ["t"], lag={"before": F.col("n")}, rows=500)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    rows = got.filter("before is not null").agg(F.count("*"), F.min(F.col("n") - F.col("before")), F.max("t")).first()
+    assert tuple(rows) == (4997, 3, 4999)
+
+
+def test_a_chunk_is_a_quarter_of_a_million_rows(spark):
+    df = spark.range(900_000).selectExpr("'a' as k", "id as t")
+    sizes = [r["count"] for r in chunked(df, ["k"], ["t"]).groupBy("_chunk").count().collect()]
+    assert sum(sizes) == 900_000 and max(sizes) < 500_000
+
+
+def test_boundaries_from_copies_are_those_of_the_rows(spark):
+    df = spark.range(40_000).selectExpr("if(id % 10 = 0, null, 'a') as k", "id as t")
+    copies = df.unionByName(df).unionByName(df.filter("t < 5000"))
+    want = chunked(df, ["k"], ["t"], 3000).collect()
+    assert sorted(chunked(df, ["k"], ["t"], 3000, copies).collect(), key=str) == sorted(want, key=str)
+    assert chunked(df, ["k"], ["t"], 60_000, copies) is None
+
+
 def test_asof_finds_the_valid_version_by_brute_force(spark):
     rng = random.Random(11)
     versions, facts = [], []
