@@ -17,10 +17,15 @@ def held_seconds(
     cap: float = 600.0,
     name: str = "held_seconds",
     rows: int = CHUNK_ROWS,
+    copies: DataFrame | None = None,
 ) -> DataFrame:
-    """Seconds until the next report of the same link, at most ``cap``; ``cap`` for the last one."""
+    """Seconds until the next report of the same link, at most ``cap``; ``cap`` for the last one.
+
+    ``copies``: the reports before one copy of each was chosen, see ``ordered.chunked``.
+    """
     limit = F.lit(float(cap))
     gap = F.col("_next_uptime") - F.col(uptime)
-    followed = neighbours(df, keys, [uptime], lead={"_next_uptime": F.col(uptime)}, rows=rows)
+    ahead = {"_next_uptime": F.col(uptime)}
+    followed = neighbours(df, keys, [uptime], lead=ahead, rows=rows, copies=copies)
     held = F.greatest(F.lit(0.0), F.least(limit, F.coalesce(gap, limit)))
     return followed.withColumn(name, held).drop("_next_uptime")

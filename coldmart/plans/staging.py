@@ -103,8 +103,9 @@ def state_updates(
     raw_cooler: DataFrame, anchors: DataFrame, order: Sequence[Column | str] | None = None
 ) -> DataFrame:
     """One flat row per state report: one copy, repaired clock, held seconds."""
-    kept = one_copy(complete_reports(raw_cooler), REPORT_KEYS, order)
-    return flatten_report(held_seconds(repaired(kept, anchors, "updated_at")))
+    complete = complete_reports(raw_cooler)
+    kept = repaired(one_copy(complete, REPORT_KEYS, order), anchors, "updated_at")
+    return flatten_report(held_seconds(kept, copies=complete))
 
 
 def negotiations(

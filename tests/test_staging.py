@@ -104,6 +104,12 @@ def test_holds_do_not_depend_on_where_a_boot_is_cut(spark, chunk):
     assert {(r["boot_id"], r["uptime_seconds"]): r["held_seconds"] for r in got} == want
 
 
+def test_holds_of_long_links_cut_at_places_from_their_copies(spark):
+    df = spark.range(6000).selectExpr("'a' as boot_id", "'A' as address", "id * 1.5D as uptime_seconds")
+    got = held_seconds(df, rows=500, copies=df.unionByName(df.filter("uptime_seconds < 900")))
+    assert got.groupBy("held_seconds").count().orderBy("held_seconds").collect() == [(1.5, 5999), (600.0, 1)]
+
+
 def test_the_anchor_is_the_first_synced_record_of_either_stream(spark):
     cooler = raw(spark, [dict(uptime_seconds=30.0, ts=at(30)), dict(uptime_seconds=5.0, ts=at(-9), ts_synced=False)])
     events = frame(
