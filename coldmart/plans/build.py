@@ -101,7 +101,8 @@ def rebuild_devices(
     spark = raw_cooler.sparkSession
     version, before = marts.new_version(), marts.current_version(spark, root)
     earlier = staged_so_far(spark)
-    changed = changed.select("serial_number").distinct()
+    # Written once, so that Spark knows how few they are and does not move a device's history for them.
+    changed = staged(changed.select("serial_number").distinct(), "changed")
     updates, shaken = staged_reports(raw_cooler, raw_events, report_order, handshake_order)
     updates = updates.join(changed, "serial_number", "left_semi")
     shaken = shaken.join(changed, "serial_number", "left_semi")
@@ -109,21 +110,31 @@ def rebuild_devices(
     def merged(name: str, fresh: DataFrame) -> DataFrame:
         old = marts.read_mart(spark, root, name, before)
         kept = old.join(changed, "serial_number", "left_anti")
-        return marts.write_mart(kept.unionByName(fresh.select(*old.columns)), root, name, version)
+        return kept.unionByName(fresh.select(*old.columns))
 
-    tables = {"dim_date": marts.write_mart(dims.calendar(spark, *calendar_span), root, "dim_date", version)}
     devices = staged(dims.device_versions(shaken, updates), "devices")
-    tables["dim_cooler"] = merged("dim_cooler", devices)
     # Batteries move between devices: the earliest sighting of either side stands.
     both = marts.read_mart(spark, root, "dim_battery", before).unionByName(dims.battery_dim(updates))
     packs = both.groupBy("battery_key", "serial_number", "is_absent").agg(
         F.min("first_seen_at").alias("first_seen_at")
     )
-    tables["dim_battery"] = marts.write_mart(packs, root, "dim_battery", version)
+    tables = _written(
+        spark,
+        root,
+        version,
+        dim_date=lambda: dims.calendar(spark, *calendar_span),
+        dim_cooler=lambda: merged("dim_cooler", devices),
+        dim_battery=lambda: packs,
+    )
     fresh = staged(facts.state_update_fact(updates, devices, tables["dim_battery"]), "fact")
-    tables["fact_cooler_state_update"] = merged("fact_cooler_state_update", fresh)
-    tables["fact_cooler_snapshot"] = merged("fact_cooler_snapshot", slot_snapshot(fresh))
-    tables["fact_cooler_pulldown"] = merged("fact_cooler_pulldown", pulldown_episodes(fresh))
+    tables |= _written(
+        spark,
+        root,
+        version,
+        fact_cooler_state_update=lambda: merged("fact_cooler_state_update", fresh),
+        fact_cooler_snapshot=lambda: merged("fact_cooler_snapshot", slot_snapshot(fresh)),
+        fact_cooler_pulldown=lambda: merged("fact_cooler_pulldown", pulldown_episodes(fresh)),
+    )
     marts.publish(spark, root, version)
     discard(spark, earlier)
     return tables

@@ -197,6 +197,22 @@ def test_a_rebuild_of_changed_devices_equals_a_full_one(spark, tmp_path):
     assert marts.read_mart(spark, root, "fact_cooler_state_update").count() == 240
 
 
+def test_a_rebuild_asks_once_which_devices_changed(spark, tmp_path):
+    cooler, events = raw_fleet(spark)
+    build.build_all(cooler, events, str(tmp_path), SPAN)
+    asked = spark.sparkContext.accumulator(0)
+
+    def told(serial):
+        asked.add(1)
+        return serial
+
+    changed = spark.createDataFrame([("D2",)], "serial_number STRING")
+    changed = changed.select(F.udf(told, "string")("serial_number").alias("serial_number"))
+    tables = build.rebuild_devices(cooler, events, changed, str(tmp_path), calendar_span=SPAN)
+    assert tables["fact_cooler_state_update"].count() == 240
+    assert asked.value == 1
+
+
 def test_the_star_keeps_its_own_contract(spark, tmp_path):
     from coldmart.plans import quality
 
