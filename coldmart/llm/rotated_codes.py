@@ -8,8 +8,10 @@ bound. In each block of rows, only vectors whose distance could be among the bes
 are measured exactly; the best measured ones of all blocks are the answer.
 
 All rows are indexed and every query meets every block of codes; the random error is the only
-way to miss a neighbour. Queries are the rows stated, in blocks, and are sent to the blocks of
-rows, which do not move.
+way to miss a neighbour. Queries are the rows stated, in blocks. Both meet in cells: a task holds
+the blocks of one lane, whose size is bounded, and reads the blocks of queries of one part after
+another; of each query it returns the best of the lane. Nothing is joined, so nothing is broadcast;
+a block of queries is shuffled once a lane, a block of rows once a part.
 
 Defined cases: see ``vectors``; zero vectors take no part; equal distances go to the smaller id;
 a row is not its own answer, nor is another with the query's id.
@@ -19,13 +21,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coldmart.llm import scratch, vectors
+from coldmart.llm import vectors
 
 ERROR = 3.0
 SEED = 20_240_117
+HELD = 1 << 23  # coordinates of the rows in a lane, about
+LANES = 64  # fewer blocks than that are a lane each, about
+PART = 2048  # blocks of queries in a part, about
+SLACK = 1e-9  # of squared lengths, for rounding of products
 
 
 def rotation(width: int) -> np.ndarray:
@@ -66,6 +72,39 @@ def distances(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.sqrt((away * away).sum(axis=1))
 
 
+def best_of(codes: Codes, held: list[tuple], asked: np.ndarray, q: np.ndarray, bounds: np.ndarray, k: int):
+    """Ids and distances of the ``k`` best in some blocks for each query, of those that the codes choose.
+
+    Chosen ones are measured by one product a block, and those that are among the best by it, but
+    for rounding, by differences.
+    """
+    best = [(np.zeros(0, np.int64), np.zeros(0))] * len(asked)
+    reach = np.full(len(asked), np.inf)  # the k-th best so far
+    squares = (q * q).sum(axis=1)
+    for ids, v, bits, length, along in held:
+        least, most = codes.bounds(q, bits, length, along)
+        own = ids[None, :] == asked[:, None]
+        least[own] = most[own] = np.inf
+        limit = bounds**2 * (1 + 1e-9)
+        if len(ids) > k:
+            limit = np.minimum(limit, np.partition(most, k - 1, axis=1)[:, k - 1])
+        lengths = (v * v).sum(axis=1)
+        rough = squares[:, None] + lengths - 2 * (q @ v.T)
+        slack = SLACK * (squares + lengths.max())
+        chosen = (least <= limit[:, None]) & ~own & ~(rough > (reach**2 + slack)[:, None])
+        for i in np.flatnonzero(chosen.any(axis=1)):
+            at = np.flatnonzero(chosen[i])
+            if len(at) > k:
+                at = at[~(rough[i, at] > np.partition(rough[i, at], k - 1)[k - 1] + 2 * slack[i])]
+            near = np.concatenate([best[i][0], ids[at]])
+            exact = np.concatenate([best[i][1], distances(q[i], v[at])])
+            top = vectors.first_of(exact, near, k)
+            best[i] = near[top], exact[top]
+            if len(top) == k:
+                reach[i] = exact[top[-1]]
+    return best
+
+
 def search(
     df: DataFrame, every: int, k: int, key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
@@ -96,7 +135,7 @@ def search(
             "bits": bits.tobytes(), "lengths": length.tobytes(), "along": along.tobytes(),
         }
 
-    blocks = vectors.blocks_of(
+    blocks = vectors.cut(
         rows, width, [], describe, "ids binary, vecs binary, bits binary, lengths binary, along binary"
     )
 
@@ -105,7 +144,7 @@ def search(
         _, ids, known = shared.value
         for batch in batches:
             out = []
-            for asked in batch.column(0):
+            for deal, asked in zip(batch.column(0).to_pylist(), batch.column(1)):
                 mine = asked.values.field("id").to_numpy()
                 q = vectors.matrix(asked.values.field("vec"), width)
                 bound = np.full(len(mine), np.inf)
@@ -114,54 +153,66 @@ def search(
                     if len(near) >= k:
                         bound[i] = near[k - 1]
                 out.append(
-                    {"asked": mine.astype("<i8").tobytes(), "asked_vecs": q.tobytes(), "bounds": bound.tobytes()}
-                )
-            yield pa.RecordBatch.from_pylist(
-                out, schema=vectors.to_arrow("asked binary, asked_vecs binary, bounds binary")
-            )
-
-    asked = scratch.table(
-        vectors.dealt(vectors.query_rows(rows, every))
+                    {"deal": deal, "asked": mine.astype("<i8").tobytes(), "asked_vecs": q.tobytes(),
+                     "bounds": bound.tobytes()}
+                )
+            yield pa.RecordBatch.from_pylist(out, schema=vectors.to_arrow(ask_schema))
+
+    ask_schema = "deal bigint, asked binary, asked_vecs binary, bounds binary"
+    queries = vectors.query_rows(rows, every)
+    deals = vectors.deals(queries)
+    asked = (
+        vectors.dealt(queries, deals)
         .groupBy("deal")
         .agg(F.collect_list(F.struct("id", "vec")).alias("rows"))
-        .select("rows")
-        .mapInArrow(ask, "asked binary, asked_vecs binary, bounds binary"),
-        "asked",
+        .mapInArrow(ask, ask_schema)
     )
 
     def look(batches):
-        codes = shared.value[0]
+        """The blocks of a cell, then block by block the queries that meet them."""
+        cell, held = None, []
         for batch in batches:
-            found: list[list] = [[], [], []]
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                ids, asked = np.frombuffer(row[0], "<i8"), np.frombuffer(row[5], "<i8")
-                v = np.frombuffer(row[1]).reshape(len(ids), width)
-                q = np.frombuffer(row[6]).reshape(len(asked), width)
-                bits = np.frombuffer(row[2], np.uint8).reshape(len(ids), -1)
-                least, most = codes.bounds(q, bits, np.frombuffer(row[3]), np.frombuffer(row[4]))
-                own = ids[None, :] == asked[:, None]
-                least[own] = most[own] = np.inf
-                limit = np.frombuffer(row[7]) ** 2 * (1 + 1e-9)
-                if len(ids) > k:
-                    limit = np.minimum(limit, np.partition(most, k - 1, axis=1)[:, k - 1])
-                for i in range(len(asked)):
-                    chosen = np.flatnonzero((least[i] <= limit[i]) & ~own[i])
-                    exact = distances(q[i], v[chosen])
-                    top = vectors.first_of(exact, ids[chosen], k)
-                    found[0] += [int(asked[i])] * len(top)
-                    found[1] += ids[chosen[top]].tolist()
-                    found[2] += exact[top].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64()))],
-                ["query_id", "vec_id", "score"],
-            )
-
-    lanes = max(1, blocks.count())
-    everywhere = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+                if row[0] != cell:
+                    cell, held = row[0], []
+                if row[1] is not None:
+                    ids = np.frombuffer(row[1], "<i8")
+                    held.append(
+                        (ids, np.frombuffer(row[2]).reshape(len(ids), width),
+                         np.frombuffer(row[3], np.uint8).reshape(len(ids), -1),
+                         np.frombuffer(row[4]), np.frombuffer(row[5]))
+                    )
+                elif held:
+                    mine = np.frombuffer(row[6], "<i8")
+                    q = np.frombuffer(row[7]).reshape(len(mine), width)
+                    best = best_of(shared.value[0], held, mine, q, np.frombuffer(row[8]), k)
+                    found = [np.repeat(mine, [len(b[0]) for b in best]), *map(np.concatenate, zip(*best))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
+
+    n = int(sums.get(width, 0.0))
+    lanes = max(1, min(-(-n // vectors.ROWS), LANES), -(-n * width // HELD))
+    parts = -(-deals // PART)
+    # Blocks that one task cuts have numbers in a row: they go to lanes in a row.
+    first = F.pmod(F.xxhash64(F.shiftright("block", 33)), F.lit(lanes))
+    lane = F.pmod(first + F.col("block").bitwiseAND(F.lit((1 << 33) - 1)), F.lit(lanes))
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    cells = (
+        blocks.withColumn("lane", lane).withColumn("part", each(parts))
+        .unionByName(
+            asked.withColumn("lane", each(lanes)).withColumn("part", F.pmod("deal", F.lit(parts))),
+            allowMissingColumns=True,
+        )
+        .select(
+            (F.col("lane") * parts + F.col("part")).cast("int").alias("cell"),
+            "ids", "vecs", "bits", "lengths", "along", "asked", "asked_vecs", "bounds",
+        )
+    )
     met = (
-        blocks.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int"))
-        .join(everywhere, "lane")
-        .select("ids", "vecs", "bits", "lengths", "along", "asked", "asked_vecs", "bounds")
+        cells.repartitionById(lanes * parts, "cell")
+        .sortWithinPartitions("cell", F.col("ids").isNull())
         .mapInArrow(look, "query_id bigint, vec_id bigint, score double")
     )
     return vectors.best(met, k, F.col("score").asc()).select("query_id", "rank", "vec_id", "score")

@@ -52,7 +52,7 @@ def sample(vectors: DataFrame, width: int, n: int = SAMPLE) -> tuple[np.ndarray,
     return rows.column("id").to_numpy(), matrix(rows.column("vec").combine_chunks(), width)
 
 
-def blocks_of(
+def cut(
     rows: DataFrame, width: int, keys: list[str], describe: Callable[[dict], dict], schema: str
 ) -> DataFrame:
     """Rows of ``rows(id, vec, *keys)``, as they lie, to blocks of equal ``keys[0]``.
@@ -83,10 +83,14 @@ def blocks_of(
             yield shaped(held)
 
     kinds = to_arrow(schema)
-    return scratch.table(
-        rows.select(*columns).mapInArrow(build, schema).withColumn("block", F.monotonically_increasing_id()),
-        "blocks",
-    )
+    return rows.select(*columns).mapInArrow(build, schema).withColumn("block", F.monotonically_increasing_id())
+
+
+def blocks_of(
+    rows: DataFrame, width: int, keys: list[str], describe: Callable[[dict], dict], schema: str
+) -> DataFrame:
+    """``cut``, written once."""
+    return scratch.table(cut(rows, width, keys, describe, schema), "blocks")
 
 
 def to_arrow(schema: str) -> pa.Schema:
@@ -101,10 +105,14 @@ def query_rows(vectors: DataFrame, every: int) -> DataFrame:
     )
 
 
-def dealt(queries: DataFrame) -> DataFrame:
-    """``queries`` with a ``deal``: about ``ASKED`` of them share one."""
-    parts = max(1, -(-queries.count() // ASKED))
-    return queries.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(parts)))
+def deals(queries: DataFrame) -> int:
+    """How many blocks of about ``ASKED`` there are of ``queries``."""
+    return max(1, -(-queries.count() // ASKED))
+
+
+def dealt(queries: DataFrame, n: int | None = None) -> DataFrame:
+    """``queries`` with a ``deal``, one of ``n``: about ``ASKED`` of them share one."""
+    return queries.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(n or deals(queries))))
 
 
 def best(found: DataFrame, k: int, order) -> DataFrame:

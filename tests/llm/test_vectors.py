@@ -99,6 +99,46 @@ def test_nearest_neighbours_are_found(spark, monkeypatch, block):
     assert all(g[3] == pytest.approx(exact[g[0], g[2]], abs=1e-12) for g in got)
 
 
+def test_blocks_and_queries_meet_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ROWS", 16)
+    monkeypatch.setattr(vectors, "SAMPLE", 40)
+    df, _, width = table(spark, 4, 900)
+    found = rotated_codes.search(df, every=3, k=4)
+    one = sorted(map(tuple, found.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+    monkeypatch.setattr(vectors, "ASKED", 8)
+    for held, lanes, part in ((64, 1, 2048), (5, 2, 2048), (4, 3, 7), (1, 64, 1)):
+        monkeypatch.setattr(rotated_codes, "HELD", held * 16 * width)
+        monkeypatch.setattr(rotated_codes, "LANES", lanes)
+        monkeypatch.setattr(rotated_codes, "PART", part)
+        assert sorted(map(tuple, rotated_codes.search(df, every=3, k=4).collect())) == one
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e200])
+def test_the_best_of_blocks_are_those_that_the_codes_choose(offset):
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(400, 16)) + offset
+    rows[200:300] = rows[7]  # equal distances go to the smaller id
+    ids, q = rng.permutation(400).astype(np.int64), rows[[7, 8, 9]]
+    with np.errstate(all="ignore"):
+        codes = rotated_codes.Codes(rows.mean(axis=0))
+        asked, bounds = ids[[7, 8, 9]], np.full(3, np.inf)
+        blocks = [(ids[s], rows[s], *codes.encode(rows[s])) for s in (slice(0, 150), slice(150, 396), slice(396, 400))]
+        got = rotated_codes.best_of(codes, blocks, asked, q, bounds, 5)
+        for i in range(3):
+            kept = []
+            for own, v, *code in blocks:
+                least, most = (x[0] for x in codes.bounds(q[i : i + 1], *code))
+                least[own == asked[i]] = most[own == asked[i]] = np.inf
+                limit = np.sort(most)[4] if len(own) > 5 else np.inf
+                kept += [
+                    (float(rotated_codes.distances(q[i], v[[j]])[0]), int(own[j]))
+                    for j in np.flatnonzero((least <= limit) & (own != asked[i]))
+                ]
+            assert list(zip(got[i][1].tolist(), got[i][0].tolist())) == sorted(kept)[:5]
+
+
 def test_recall_on_the_given_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = rotated_codes.search(df, every=100, k=10).collect()
